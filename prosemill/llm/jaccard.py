@@ -215,6 +215,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
 
     tied = classes.where("grams > 0").select("node", F.explode("bands").alias("band"))
     stars = tied.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least")
+    stars = scratch.write(stars, "stars")  # written, so that adaptive execution may split a hot band of the join
     ties = tied.join(stars, "band").where("node <> least").select(F.col("node").alias("one"), F.col("least").alias("two")).distinct()
     near = components(ties, scratch, "ties")
     asked = scratch.write(classes.join(near, "node").select("node", "component", "copies", "grams", "example.doc_key", "example.text_key"), "asked")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.llm.storage import Scratch
+
 SIZE = 3
 OWN = ("kept_text", "n_lines", "n_removed")
 
@@ -41,6 +43,7 @@ def remove_repeated_lines(docs: DataFrame, size: int = SIZE, id_col: str = "doc_
     windows = rows.select("_id", "_key", F.explode(window_hashes(lines, size)).alias("w")).select("_id", "_key", "w.*")
     first = windows.groupBy("one", "two").agg(F.min(F.struct("_id", "_key", "place")).alias("first"), F.max(F.struct("_id", "_key", "place")).alias("last"))
     repeated = first.where(~F.col("first").eqNullSafe(F.col("last"))).select("one", "two", "first")
+    repeated = Scratch(docs.sparkSession, "lines").write(repeated, "repeated")  # so that adaptive execution may split a hot window
     later = windows.join(repeated, ["one", "two"]).where(~F.struct("_id", "_key", "place").eqNullSafe(F.col("first")))
     covered = later.groupBy("_id", "_key").agg(F.collect_set("place").alias("places")).select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), "places")
     found = rows.join(covered, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_key").eqNullSafe(F.col("_key2")), "left")

@@ -13,18 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, model = table(spark, sf_dir, "documents"), quality_model(spark, sf_dir)
     from prosemill.llm.ordinal import rate
 
-    return rate(docs, model)
+    docs = table(spark, sf_dir, "documents")
+    return rate(docs, quality_model(spark, sf_dir, docs))
 
 
-def quality_model(spark: SparkSession, sf_dir: str):
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame):
     """Grades: 0 toxic, 1 neither toxic nor good, 2 good."""
     from prosemill.llm.ordinal import train
 
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    return train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")), 3)
+    return train(docs, table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")), 3)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
