@@ -1,10 +1,306 @@
-"""The registered queries and their DuckDB counterparts."""
+"""The registered queries, each over its whole table, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prosemill.functions import rules as R
+from prosemill.operators import books, measure
+from prosemill.operators import documents as D
+from prosemill.plans import oracle as Q
+from prosemill.plans import snippets as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return keep
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Over all cores: the table may be one file, and a regex scan is work for more than its one task."""
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+
+
+def corpus(spark: SparkSession, sf_dir: str, snippets: tuple[str, ...] = ()) -> DataFrame:
+    docs = spread(documents(spark, sf_dir).select("doc_id", "lang", "source", "text"))
+    return S.injected(docs, snippets) if snippets else docs
+
+
+def whole(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+# ---- Metrics, native ----
+
+
+@query(Q.metrics("doc_id, words, sentences, paragraphs, max_sentence_words, max_paragraph_words"))
+def doc_word_metrics(spark, sf_dir):
+    names = ("words", "sentences", "paragraphs", "max_sentence_words", "max_paragraph_words")
+    return whole(measure.measure(corpus(spark, sf_dir)).select("doc_id", *names), *names)
+
+
+@query(Q.metrics("doc_id, scored, mean_sentence_words, flesch_reading_ease, flesch_kincaid_grade, pct_long_words, pct_ly_adverbs, pct_long_sentences, pct_passive_sentences"))
+def doc_flesch(spark, sf_dir):
+    names = ("mean_sentence_words", "flesch_reading_ease", "flesch_kincaid_grade", "pct_long_words", "pct_ly_adverbs", "pct_long_sentences", "pct_passive_sentences")
+    return measure.measure(corpus(spark, sf_dir)).select("doc_id", "scored", *names)
+
+
+@query(Q.verdicts("doc_id, array_to_string(over, ',') AS over_budget, len(over) > 0 AS failed"))
+def budget_verdict(spark, sf_dir):
+    judged = measure.judged(measure.measure(corpus(spark, sf_dir)))
+    return judged.select("doc_id", F.array_join("over_budget", ",").alias("over_budget"), "failed")
+
+
+@query(Q.sentences())
+def sentence_words(spark, sf_dir):
+    return whole(measure.sentence_table(corpus(spark, sf_dir)).select("doc_id", "number", F.md5(F.col("sentence").cast("binary")).alias("sentence_md5"), "words"), "number", "words")
+
+
+@query(Q.paragraphs())
+def paragraph_words(spark, sf_dir):
+    return whole(measure.paragraph_table(corpus(spark, sf_dir)).select("doc_id", "number", "words"), "number", "words")
+
+
+def by(keys: str):
+    names = ("documents", "scored_documents", "words", "failed_documents")
+
+    def run(spark, sf_dir):
+        docs = corpus(spark, sf_dir)
+        judged = measure.judged(measure.measure(docs)).join(docs.select("doc_id", keys), "doc_id")
+        return whole(
+            judged.groupBy(keys).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("scored").cast("int")).alias("scored_documents"), F.sum("words").alias("words"), F.sum(F.col("failed").cast("int")).alias("failed_documents")),
+            *names,
+        )
+
+    return run
+
+
+QUERIES["quality_by_lang"], ORACLE_SQL["quality_by_lang"] = by("lang"), Q.grouped("lang")
+QUERIES["quality_by_source"], ORACLE_SQL["quality_by_source"] = by("source"), Q.grouped("source")
+
+
+# ---- Findings ----
+
+
+def counted(found: DataFrame) -> DataFrame:
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(Q.rule_counts(R.TELLS, S.TELLS))
+def flag_counts_by_rule(spark, sf_dir):
+    return counted(D.find(corpus(spark, sf_dir, S.TELLS), "tells"))
+
+
+@query(Q.rule_counts(R.COMPLEXITY, S.HARD))
+def complexity_counts_by_rule(spark, sf_dir):
+    return counted(D.find(corpus(spark, sf_dir, S.HARD), "simplify").where((F.col("kind") == "complexity") & (F.col("rule") != R.SAME_OPENING)))
+
+
+@query(Q.rule_counts(R.CLUTTER, S.CLUTTER))
+def clutter_counts_by_rule(spark, sf_dir):
+    return counted(D.find(corpus(spark, sf_dir, S.CLUTTER), "simplify").where("kind = 'clutter'"))
+
+
+@query(Q.chat_residue())
+def chat_residue_by_role(spark, sf_dir):
+    turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.struct("conv_id", "turn", "role").alias("key"), "text"))
+    hits = D.find(turns, "tells", id_col="key").where("rule like 'chat:%'").groupBy("key.role").agg(F.count(F.lit(1)).alias("hits"))
+    roles = turns.groupBy("key.role").agg(F.count(F.lit(1)).alias("turns"))
+    return roles.join(hits, "role", "left").select("role", "turns", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+@query(Q.tell_positions())
+def vocabulary_positions(spark, sf_dir):
+    found = D.find(corpus(spark, sf_dir, S.TELLS), "tells").where("rule = 'word:vocabulary'")
+    return whole(found.select("doc_id", "text", "line", "col"), "line", "col")
+
+
+@query()
+def review_findings(spark, sf_dir):
+    return D.find(corpus(spark, sf_dir, S.TELLS + S.HARD), "review", utf16=True)
+
+
+@query()
+def same_openings(spark, sf_dir):
+    return D.find(corpus(spark, sf_dir, S.HARD), "simplify").where(F.col("rule") == R.SAME_OPENING)
+
+
+@query()
+def length_findings(spark, sf_dir):
+    return D.find(corpus(spark, sf_dir), "lengths")
+
+
+@query()
+def grammar_findings(spark, sf_dir):
+    return D.find(corpus(spark, sf_dir, ("She ate a apple. Their is the the color we organize.", "The colour is an hour old.")), "grammar")
+
+
+@query()
+def document_spans(spark, sf_dir):
+    return D.spans(corpus(spark, sf_dir))
+
+
+@query()
+def quoted_ranges(spark, sf_dir):
+    return D.quotations(corpus(spark, sf_dir, ('He said "go on" and \u2018stay here\u2019 to \u201call of us\u201d.', "The users' 7\" screen isn't 'quoted words'.")))
+
+
+# ---- Rewrites ----
+
+
+@query(Q.typography())
+def detell_fix_text(spark, sf_dir):
+    done = D.rewrite(corpus(spark, sf_dir, S.TYPOGRAPHY), "typography")
+    return done.select("doc_id", F.md5(F.col("rewritten").cast("binary")).alias("text_md5"), F.length("rewritten").cast("long").alias("chars"))
+
+
+@query(Q.clutter())
+def clutter_fix_text(spark, sf_dir):
+    done = D.rewrite(corpus(spark, sf_dir, S.CLUTTER), "simplify")
+    return done.select("doc_id", F.md5(F.col("rewritten").cast("binary")).alias("text_md5"), F.length("rewritten").cast("long").alias("chars"))
+
+
+@query()
+def rewrite_tallies(spark, sf_dir):
+    fixes = D.rewrite(corpus(spark, sf_dir, S.TYPOGRAPHY), "typography").select(F.explode("fixes").alias("f"))
+    return fixes.groupBy("f.rule").agg(F.sum("f.n").alias("fixes"), F.count(F.lit(1)).alias("documents"))
+
+
+# ---- Facts, insights, gaps ----
+
+
+@query(Q.numbers())
+def facts_numbers(spark, sf_dir):
+    return D.fact_table(corpus(spark, sf_dir, S.FACTS)).where("kind = 'number'").select("doc_id", "key")
+
+
+@query(Q.dates())
+def facts_dates(spark, sf_dir):
+    return D.fact_table(corpus(spark, sf_dir, S.FACTS)).where("kind = 'date'").select("doc_id", F.lower("fact").alias("fact"))
+
+
+@query()
+def facts_survival(spark, sf_dir):
+    source = corpus(spark, sf_dir, S.FACTS)
+    return D.lost_facts(D.paired(source.withColumn("text", F.regexp_replace("text", "(?:2025|18,000|4\\.5|October)", "")), source))
+
+
+@query(Q.insight())
+def insight_structure(spark, sf_dir):
+    found = D.insights(corpus(spark, sf_dir, S.INSIGHTS)).where("check <> 'no_customer_metrics'")
+    return found.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("check")), ",").alias("checks"))
+
+
+@query()
+def insight_failures(spark, sf_dir):
+    return D.insights(corpus(spark, sf_dir, S.INSIGHTS))
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as books: a source is one, its documents the entries in the order of their ids."""
+    from pyspark.sql import Window
+
+    docs = corpus(spark, sf_dir, S.GAPS)
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    numbered = docs.select("source", "doc_id").withColumn("entry", place)  # ids only: no text goes through the sort
+    return numbered.join(docs.select("doc_id", "text"), "doc_id").select(F.col("source").alias("book_id"), "entry", "text")
+
+
+@query()
+def gap_first_uses(spark, sf_dir):
+    return D.first_uses(corpus(spark, sf_dir, S.GAPS))
+
+
+@query(Q.spacing())
+def gap_spacing(spark, sf_dir):
+    found = books.spaced_gaps(entries(spark, sf_dir)).where("acronym in ('CPO', 'DNO', 'CSMS', 'EVSE', 'OCPP')")
+    return whole(found.select("book_id", "entry", "acronym", "last_entry"), "entry", "last_entry")
+
+
+@query()
+def gap_findings(spark, sf_dir):
+    return books.gap_findings(corpus(spark, sf_dir, S.GAPS), "**CPO**: Charge Point Operator. Owns sites.\n**DNO**: Distribution Network Operator.")
+
+
+@query()
+def gap_missing(spark, sf_dir):
+    heads = spark.createDataFrame([("CPO",), ("DNO list",)], "headword string")
+    return books.missing_acronyms(corpus(spark, sf_dir, S.GAPS), heads)
+
+
+# ---- Explanation and gates ----
+
+
+EXPLAINING = (
+    "The boiler heats the water, so the sensor learns late. It learns late because the pipe is long, which means the room is warm first. If it is cold, wait.",
+    "The gate has three parts: a key, a lock and a hinge. The key turns, so the lock holds, but the hinge swings.",
+    "It takes two steps.\n\n- open the door\n- shut the door",
+    "Due to the fact that it rains, it should be noted that we wait. It is very, really wet.",
+)
+
+
+@query()
+def explanation_joints(spark, sf_dir):
+    return D.joints(corpus(spark, sf_dir, EXPLAINING))
+
+
+@query()
+def promised_lists(spark, sf_dir):
+    return D.promises(corpus(spark, sf_dir, EXPLAINING))
+
+
+@query()
+def paragraph_scores(spark, sf_dir):
+    return D.paragraphs(corpus(spark, sf_dir, EXPLAINING))
+
+
+def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = corpus(spark, sf_dir, EXPLAINING)
+    shorter = F.regexp_replace(F.regexp_replace("text", "(?s)^(.{0,4000}?[.])\\s.*\\n\\n", "$1\n\n"), "\\bso\\b", "and")
+    return D.paired(source.withColumn("text", shorter), source)
+
+
+@query()
+def compression_gate(spark, sf_dir):
+    names = ("before", "after", "cut_pct", "padding_before", "padding_after", "explanation_before", "explanation_after", "length_label", "length_ok")
+    return D.gate(rewrites(spark, sf_dir)).select("doc_id", *names)
+
+
+@query()
+def explanation_gates(spark, sf_dir):
+    return D.gate(rewrites(spark, sf_dir)).select("doc_id", "joints_source", "joints_required", "joints_after", "joints_ok", "unkept_before", "lists_ok", "facts_source", "over", "failed")
+
+
+@query()
+def joined_verdicts(spark, sf_dir):
+    return D.judged_measure(corpus(spark, sf_dir, EXPLAINING))
+
+
+@query()
+def full_report(spark, sf_dir):
+    return D.report(corpus(spark, sf_dir, S.HARD), "simplify")
+
+
+@query()
+def json_report(spark, sf_dir):
+    return D.report(corpus(spark, sf_dir, S.TYPOGRAPHY), "typography", as_json=True)
+
+
+@query()
+def segmentation_disagreements(spark, sf_dir):
+    return D.disagreements(corpus(spark, sf_dir, S.TELLS))
