@@ -216,12 +216,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     tied = classes.where("grams > 0").select("node", F.explode("bands").alias("band"))
     stars = tied.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least")
     stars = scratch.write(stars, "stars")  # written, so that adaptive execution may split a hot band of the join
-    ties = tied.join(stars, "band").where("node <> least").select(F.col("node").alias("one"), F.col("least").alias("two")).distinct()
+    ties = tied.join(stars.hint("merge"), "band").where("node <> least").select(F.col("node").alias("one"), F.col("least").alias("two")).distinct()
     near = components(ties, scratch, "ties")
     asked = scratch.write(classes.join(near, "node").select("node", "component", "copies", "grams", "example.doc_key", "example.text_key"), "asked")
     sizes = asked.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
 
-    wanted = asked.select("node", "copies", F.col("doc_key").alias("_d"), F.col("text_key").alias("_t"))
+    # The texts are shuffled whatever the size of the other side: what fits a broadcast on a small corpus does not on a large one.
+    wanted = asked.select("node", "copies", F.col("doc_key").alias("_d"), F.col("text_key").alias("_t")).hint("merge")
     texts = rows.select("doc_key", "text_key", "text").join(wanted, F.col("doc_key").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t"))).select("node", "copies", "text")
     sets = scratch.write(texts.mapInArrow(set_rows(size), "node long, copies long, set array<long>"), "sets")
     dealt = sets.join(asked.select("node", "component").join(sizes, "component"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
