@@ -4,8 +4,9 @@ With grades 0 to K - 1, P(grade <= k) = sigmoid(threshold[k] - score). The score
 grades share; the thresholds ascend (each step is an exponential). So a document has one place on one scale, an expected
 grade, and the probability of the best grade, by which it is selected.
 
-Features of a text (lower-cased A to Z, words between blanks): each word, each word's last three bytes, whether it repeats
-the word before, and whether it is in capitals, hashed to SPACE places; a place's value is the root of its share.
+Features of a text (lower-cased A to Z, words between blanks): each word, its beginnings, its last three bytes, whether it
+repeats the word before, and whether it is in capitals, hashed to SPACE places. A place that comes up k times in n words
+has the value sqrt(k) / (3 + log n): a word counts in a long text nearly as much as in a short one.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.textarrays import U64, chunks, lowered, mixed, text_bytes, word_symbols, words
+from prosemill.llm.textarrays import BYTE_SYMBOLS, U64, Fingerprints, chunks, lowered, mixed, text_bytes, words
 
 SPACE = 1 << 18
+#: Bytes of a word's beginnings.
+BEGINNINGS = (4, 5, 6, 7)
 #: Rated documents that the model is fitted on, the least by a hash of their id. This bounds the driver's memory.
 SAMPLE = 6000
 
@@ -31,16 +34,22 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, bounds = words(small, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    whole = word_symbols(small, starts, ends)
+    text, size = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), ends - starts
+    prints = Fingerprints(BYTE_SYMBOLS[small], 0)
+    whole = mixed(prints.ranges(starts, ends) + size.astype(U64))
     tail = mixed(sum((small[np.maximum(ends - k, starts)].astype(U64) << U64(8 * k)) for k in (1, 2, 3)) + U64(1 << 40))
     repeats = np.r_[False, (whole[1:] == whole[:-1]) & (text[1:] == text[:-1])]
-    capital = (data[starts] != small[starts]) & (data[ends - 1 - ((ends - starts) > 2)] != small[ends - 1 - ((ends - starts) > 2)]) & (ends - starts > 1)
+    inner = ends - 1 - (size > 2)
+    capital = (data[starts] != small[starts]) & (data[inner] != small[inner]) & (size > 1)
     shape = mixed(repeats.astype(U64) + capital.astype(U64) * U64(2) + U64(1 << 41))
-    place = np.concatenate([whole, tail, shape]) % U64(SPACE)
-    key, times = np.unique(np.tile(text, 3).astype(U64) * U64(SPACE) + place, return_counts=True)
+    places, texts = [whole, tail, shape], [text] * 3
+    for n in BEGINNINGS:
+        longer = size > n
+        places.append(mixed(prints.ranges(starts[longer], starts[longer] + n) + U64(n << 50)))
+        texts.append(text[longer])
+    key, times = np.unique(np.concatenate(texts).astype(U64) * U64(SPACE) + np.concatenate(places) % U64(SPACE), return_counts=True)
     text = (key // U64(SPACE)).astype(np.int64)
-    return text, (key % U64(SPACE)).astype(np.int64), np.sqrt(times / np.diff(bounds)[text])
+    return text, (key % U64(SPACE)).astype(np.int64), np.sqrt(times) / (3 + np.log(np.diff(bounds)[text]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -60,7 +69,7 @@ class OrdinalModel:
         return np.bincount(text, self.weights[place] * value, n) if len(text) else np.zeros(n)
 
 
-def fit(text: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 200, rate: float = 0.3, ridge: float = 2e-4) -> OrdinalModel:
+def fit(text: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 200, rate: float = 0.3, ridge: float = 2e-5) -> OrdinalModel:
     """Maximum likelihood with a ridge, by Adam over the whole sample. The order of the sample's rows does not matter much:
     sums run in the order of rows, which the caller fixes."""
     n = len(grade)

@@ -103,7 +103,7 @@ def test_rating_and_its_edges(spark, edges, empty):
 
 
 def test_held_out_accuracy(spark):
-    """Fitted on 6,000 of the labels of the larger table; those of the smaller one's documents are other rows."""
+    """Fitted on three quarters of the labelled documents, judged on the rest."""
     where = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 4 > 0"), labels.where("doc_id % 4 = 0").dropDuplicates(["doc_id"])
