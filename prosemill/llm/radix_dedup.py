@@ -57,7 +57,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = texts.mapInArrow(normalised(False), "digit binary").groupBy("digit").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("digit", F.lit(True).alias("again"))
     again = scratch.write(again, "again")  # written, so that adaptive execution may split a hot digit of the join
     whole = texts.mapInArrow(normalised(True), f"id {kind}, digit binary, rest binary, text_sha256 string")
-    state = whole.join(again, "digit", "left").select("id", "text_sha256", F.when(F.col("again"), F.col("digit")).alias("group"), F.when(F.col("again"), F.col("rest")).alias("rest"))
+    # Shuffled whatever the size of the other side: what fits a broadcast on a small corpus does not on a large one.
+    state = whole.join(again.hint("merge"), "digit", "left").select("id", "text_sha256", F.when(F.col("again"), F.col("digit")).alias("group"), F.when(F.col("again"), F.col("rest")).alias("rest"))
     state = scratch.write(state.withColumn("row", F.monotonically_increasing_id()), "round0")
     done = [state.where("group is null").select("id", "text_sha256", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))]
     state, size, number = state.where("group is not null"), FIRST_DIGIT * (GROWTH - 1), 0
@@ -81,7 +82,7 @@ def next_round(scratch: Scratch, state: DataFrame, size: int, number: int) -> tu
         F.when(more, F.expr(f"substring(rest, {size + 1}, 2147483647)")).alias("rest"),
     )
     groups = split.groupBy("group", "digit").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("least"), F.max(F.struct("id", (-F.col("row")).alias("row"))).alias("top")).where("size > 1")
-    found = split.join(scratch.write(groups, f"groups{number}"), ["group", "digit"], "left")
+    found = split.join(scratch.write(groups, f"groups{number}").hint("merge"), ["group", "digit"], "left")
     going = F.col("size").isNotNull() & F.col("more")
     table = scratch.write(
         found.select(
