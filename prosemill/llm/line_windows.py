@@ -44,9 +44,10 @@ def remove_repeated_lines(docs: DataFrame, size: int = SIZE, id_col: str = "doc_
     first = windows.groupBy("one", "two").agg(F.min(F.struct("_id", "_key", "place")).alias("first"), F.max(F.struct("_id", "_key", "place")).alias("last"))
     repeated = first.where(~F.col("first").eqNullSafe(F.col("last"))).select("one", "two", "first")
     repeated = Scratch(docs.sparkSession, "lines").write(repeated, "repeated")  # so that adaptive execution may split a hot window
-    later = windows.join(repeated, ["one", "two"]).where(~F.struct("_id", "_key", "place").eqNullSafe(F.col("first")))
+    # Both joins shuffle whatever the size of the other side: what fits a broadcast on a small corpus does not on a large one.
+    later = windows.join(repeated.hint("merge"), ["one", "two"]).where(~F.struct("_id", "_key", "place").eqNullSafe(F.col("first")))
     covered = later.groupBy("_id", "_key").agg(F.collect_set("place").alias("places")).select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), "places")
-    found = rows.join(covered, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_key").eqNullSafe(F.col("_key2")), "left")
+    found = rows.join(covered.hint("merge"), F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_key").eqNullSafe(F.col("_key2")), "left")
     # Merged, as a set: each later window's lines.
     gone = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + size - 1))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
