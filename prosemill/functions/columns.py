@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prosemill.functions import rules as R
 from prosemill.functions.dialect import java, java_new
 
-GUARD = ""
+GUARD = "\ue000"
 #: White space but for the newline.
 INLINE_SPACE = r"[\s&&[^\n]]"
 #: The first of MARKDOWN within one line.

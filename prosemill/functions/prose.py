@@ -15,7 +15,7 @@ import regex
 
 from prosemill.functions import rules as R
 
-GUARD = ""
+GUARD = "\ue000"
 
 
 @functools.cache

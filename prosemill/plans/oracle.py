@@ -8,7 +8,7 @@ from prosemill.functions.rules import Rule
 from prosemill.plans import snippets as S
 
 NL = "chr(10)"
-MARK, GUARD = "", ""
+MARK, GUARD = "\ue001", "\ue000"
 SPACE = r"[ \t\r\f\v]"
 #: ABBREVIATION with the character before it, as no letter of any script may stand there.
 STOPPED = r"(^|[^\pL\pM\pN_])((?i:" + "|".join(a.replace(".", r"\.") for a in R.ABBREVIATIONS.split()) + r"))\."

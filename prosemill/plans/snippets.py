@@ -56,6 +56,7 @@ CLUTTER = (
     "Each and every door, first and foremost, for testing purposes and for other purposes.",
     "The final outcome and past history of future plans. Revert back and plan ahead in advance.",
     "Advance planning joined together an absolutely essential and completely eliminated part.",
+    "As of the current time we wait, and as things currently stand we rest.",
     "In close proximity to a new innovation, an added bonus, a brief summary of basic fundamentals.",
 )
 TYPOGRAPHY = (
