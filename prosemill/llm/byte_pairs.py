@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from prosemill.llm.textarrays import SEGMENT, U64
 NONE = np.int32(2**31 - 1)
 LONG = 256
 #: Rows of a matrix, and pieces that a worker keeps the ids of.
-ROWS, KNOWN = 8192, 200_000
+ROWS, KNOWN = 8192, 400_000
 
 
 class PairTable:
@@ -99,15 +100,15 @@ class Codec:
         split = [self.pattern.findall(t) for t in texts]
         if len(self.known) > KNOWN:
             self.forget()
-        new = list({p for pieces in split for p in pieces if p not in self.known})
+        pieces = list(chain.from_iterable(split))
+        new = list(set(pieces).difference(self.known))
         if new:
             ids = self.merge([p.encode() for p in new])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.flat = np.concatenate([self.flat, *ids])
             self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in ids], np.int64)])
         begins = np.cumsum(self.sizes) - self.sizes
-        get = self.known.__getitem__
-        number = np.fromiter((get(p) for pieces in split for p in pieces), np.int64, sum(map(len, split)))
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         out = ragged(self.flat, begins[number], self.sizes[number])
         bounds = np.cumsum([0, *map(len, split)])
         sums = np.r_[0, np.cumsum(self.sizes[number])]
