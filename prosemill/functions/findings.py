@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from prosemill.functions import prose as P
@@ -20,6 +21,7 @@ class Hit:
     hint: str | None = None
 
 
+@functools.lru_cache(P.HELD)
 def vocabulary(text: str) -> set[str]:
     """The letter runs of a text, case folded, and "#" if it has one: what triggers are looked up in."""
     found = set(compiled("[a-z]+").findall(text.casefold()))

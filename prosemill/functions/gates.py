@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from prosemill.functions import explaining, facts, findings, measuring
 from prosemill.functions import rules as R
-from prosemill.functions.prose import round1
+from prosemill.functions.prose import measured_words, round1
 
 
 def cut_pct(before: int, after: int) -> float:
@@ -94,8 +94,7 @@ class Outcome:
 
 
 def lengths_of(source: str, rewrite: str) -> Length:
-    size = lambda text: int(measuring.measure(text).values["words"])
-    return Length(size(source), size(rewrite), *explaining.explaining_words(source, rewrite))
+    return Length(measured_words(source), measured_words(rewrite), *explaining.explaining_words(source, rewrite))
 
 
 def kept_of(source: str, rewrite: str) -> Kept:

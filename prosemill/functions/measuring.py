@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -32,6 +33,7 @@ def share(n: int, of: int) -> float:
     return round1(100.0 * n / of)
 
 
+@functools.lru_cache(P.HELD)
 def measure(text: str, source: str | None = None) -> Metrics:
     """With a source, a long sentence is excused only if it also came from the source's explanation."""
     prose = P.strip_code(text)

@@ -16,6 +16,8 @@ import regex
 from prosemill.functions import rules as R
 
 GUARD = "\ue000"
+#: Texts whose results the functions that several gates share keep at hand.
+HELD = 32
 
 
 @functools.cache
@@ -62,6 +64,7 @@ def filled(text: str, parts: list[tuple[int, int, bool]], fill) -> str:
     return "".join(out)
 
 
+@functools.lru_cache(HELD)
 def mask_code(text: str) -> str:
     return filled(text, segments(text), lambda _: " ")
 
@@ -213,6 +216,12 @@ def sentences(text: str) -> list[str]:
     return [p for p in pieces if has_word(p)]
 
 
+@functools.lru_cache(HELD)
+def measured_words(text: str) -> int:
+    """The words of a document as its metrics count them."""
+    return sum(count_words(s) for s in sentences(strip_code(text)))
+
+
 def paragraphs(text: str) -> list[str]:
     """Of a text without code: runs of prose lines; a list item, heading or table row stands alone."""
     found = (plain(line).strip() for line in unwrapped(text).split("\n"))
@@ -252,6 +261,7 @@ def blank_emphasis(masked: str) -> str:
     return masked.replace("*", " ").replace("_", " ")
 
 
+@functools.lru_cache(1 << 17)
 def syllables(word: str) -> int:
     letters = "".join(c for c in word.lower() if "a" <= c <= "z")
     if len(letters) <= 3:
@@ -277,8 +287,8 @@ class Positions:
     starts: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.starts = [0] + [i + 1 for i, c in enumerate(self.text) if c == "\n"]
-        self.wide = [i for i, c in enumerate(self.text) if ord(c) > 0xFFFF] if self.utf16 else []
+        self.starts = [0, *(m.end() for m in compiled("\n").finditer(self.text))]
+        self.wide = [m.start() for m in compiled("[\U00010000-\U0010ffff]").finditer(self.text)] if self.utf16 else []
 
     def at(self, offset: int) -> tuple[int, int, int]:
         line = bisect.bisect_right(self.starts, offset)
