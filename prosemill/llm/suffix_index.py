@@ -7,7 +7,7 @@ have the same size they merge to one of twice the size. Each suffix thus moves a
 The arrays are sparse and shallow, which loses nothing here. Sparse: ``windows.repeated`` brings only suffixes of contexts
 that share an anchor's head with a different context; all others are decided by counting. Shallow: only a match of
 ``length`` bytes counts, so suffixes are ordered by the 128-bit fingerprint of their first ``length`` bytes, not byte by
-byte. Equal prefixes are neighbours in either order, and arrays merge in time proportional to their sizes.
+byte. Equal prefixes are neighbours in either order, and two arrays merge by one numpy sort.
 """
 
 from __future__ import annotations
