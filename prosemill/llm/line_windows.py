@@ -16,14 +16,17 @@ SIZE = 3
 OWN = ("kept_text", "n_lines", "n_removed")
 
 
-def window_hashes(lines: Column, size: int) -> Column:
-    """An array with a struct (place, one, two) for each window."""
-    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("one"), F.xxhash64(F.lit("second"), x).alias("two")))
-    last = F.size(lines) - size
+def line_hashes(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("one"), F.xxhash64(F.lit("second"), x).alias("two")))
+
+
+def window_hashes(hashes: Column, size: int) -> Column:
+    """An array with a struct (place, one, two) for each window. hashes: a column, as a lambda evaluates what it holds anew each time."""
+    last = F.size(hashes) - size
 
     def window(i: Column) -> Column:
-        parts = [F.get(hashes, i + k) for k in range(size)]
-        return F.struct(i.alias("place"), F.xxhash64(*[p["one"] for p in parts]).alias("one"), F.xxhash64(*[p["two"] for p in parts]).alias("two"))
+        own = F.slice(hashes, i + 1, size)
+        return F.struct(i.alias("place"), F.xxhash64(F.transform(own, lambda p: p["one"])).alias("one"), F.xxhash64(F.transform(own, lambda p: p["two"])).alias("two"))
 
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window))
 
@@ -39,15 +42,16 @@ def remove_repeated_lines(docs: DataFrame, size: int = SIZE, id_col: str = "doc_
     """
     rows = docs.select(F.col(id_col).alias("_id"), *carry, F.col(text_col).alias("_text"))
     rows = rows.withColumn("_key", F.xxhash64("_text"))
-    lines = F.split("_text", "\n")
-    windows = rows.select("_id", "_key", F.explode(window_hashes(lines, size)).alias("w")).select("_id", "_key", "w.*")
+    hashed = rows.select("_id", "_key", line_hashes(F.split("_text", "\n")).alias("_hashes"))
+    windows = hashed.select("_id", "_key", F.explode(window_hashes(F.col("_hashes"), size)).alias("w")).select("_id", "_key", "w.*")
     first = windows.groupBy("one", "two").agg(F.min(F.struct("_id", "_key", "place")).alias("first"), F.max(F.struct("_id", "_key", "place")).alias("last"))
     repeated = first.where(~F.col("first").eqNullSafe(F.col("last"))).select("one", "two", "first")
     repeated = Scratch(docs.sparkSession, "lines").write(repeated, "repeated")  # so that adaptive execution may split a hot window
     # Both joins shuffle whatever the size of the other side: what fits a broadcast on a small corpus does not on a large one.
     later = windows.join(repeated.hint("merge"), ["one", "two"]).where(~F.struct("_id", "_key", "place").eqNullSafe(F.col("first")))
     covered = later.groupBy("_id", "_key").agg(F.collect_set("place").alias("places")).select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), "places")
-    found = rows.join(covered.hint("merge"), F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_key").eqNullSafe(F.col("_key2")), "left")
+    found = rows.join(covered.hint("merge"), F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_key").eqNullSafe(F.col("_key2")), "left").withColumn("_lines", F.split("_text", "\n"))
+    lines = F.col("_lines")
     # Merged, as a set: each later window's lines.
     gone = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + size - 1))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
