@@ -1,16 +1,20 @@
 """Removal of repeated word passages by relative Lempel-Ziv parsing.
 
-A context (see ``windows``) is parsed greedily against the reference blocks of its head, the contexts parsed before it.
-At a window of ``length`` words that a block holds, the factor runs on for as long as text and block agree; a factor of at
-least ``length`` words is a duplicate span, in the text and in the block. After a factor the parse looks up the next
-window, the first across the factor's boundary, and so on until one is known: a passage that goes over from one block to
-another is found whole, as every window that no factor covers is looked up. Unknown windows enter the index.
+What ``windows`` cuts out of the documents, every stretch that may hold a repeated window, is parsed greedily against the
+reference blocks of its shard: all the stretches parsed there before it, indexed by each window of ``length`` words. At a
+window that a block holds, the factor runs on for as long as text and block agree; a factor, being at least ``length`` words
+long, is a duplicate span, in the text and in the block. After a factor the parse looks up the next window, the first
+across the factor's boundary, and so on until one is known: a passage that goes over from one block to another is found
+whole, as every window that no factor covers is looked up. Windows not known enter the index with the text as their block.
+
+A shard holds all stretches that could share a window, so its blocks are every block that a factor may come from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,58 +27,52 @@ OWN = ("n_words", "n_removed", "kept_words", "kept_text")
 
 
 class ReferenceBlocks:
-    """The blocks of one head, with an index of where each window of ``length`` words first stands."""
+    """Blocks of word numbers, and where each window of ``length`` words first stands."""
 
     def __init__(self, length: int):
         self.length = length
-        self.blocks: list[list[bytes]] = []
-        self.index: dict[tuple[bytes, ...], tuple[int, int]] = {}
+        self.numbers: dict[bytes, int] = {}
+        self.blocks: list[np.ndarray] = []
+        self.index: dict[bytes, tuple[int, int]] = {}
 
     def parse(self, text: list[bytes]) -> list[tuple[int, int, int, int]]:
         """Factors of at least length words as (start, block, start there, words); the text becomes a block."""
-        length, own, at, found = self.length, len(self.blocks), 0, []
+        length, numbers, own, at, found = self.length, self.numbers, len(self.blocks), 0, []
+        words = np.array([numbers.setdefault(w, len(numbers)) for w in text], np.int32)
+        raw = words.tobytes()
+        self.blocks.append(words)
         while at + length <= len(text):
-            window = tuple(text[at : at + length])
-            place = self.index.setdefault(window, (own, at))
-            if place[0] == own:
+            block, there = self.index.setdefault(raw[4 * at : 4 * (at + length)], (own, at))
+            if (block, there) == (own, at):
                 at += 1
                 continue
-            block, there = self.blocks[place[0]], place[1]
-            n = length
-            while at + n < len(text) and there + n < len(block) and text[at + n] == block[there + n]:
-                n += 1
-            found.append((at, place[0], there, n))
+            rest, other = words[at + length :], self.blocks[block][there + length :]
+            both = min(len(rest), len(other))
+            differ = np.flatnonzero(rest[:both] != other[:both])
+            n = length + (int(differ[0]) if len(differ) else both)
+            found.append((at, block, there, n))
             at += n - length + 1
-        self.blocks.append(text)
         return found
 
 
 def resolve(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For windows.repeated: the blocks of one head at a time."""
-    schema = pa.schema([("head", pa.int64()), ("context", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
-
-    def factors(head: int, contexts: dict[int, tuple[bytes, bool]]) -> list[tuple[int, int, int, int]]:
-        blocks, names, rows = ReferenceBlocks(windows.length), list(contexts), set()
-        for i, name in enumerate(names):
-            for at, block, there, n in blocks.parse(contexts[name][0].split()):
-                rows.add((i, at, at + n - windows.length))
-                rows.add((block, there, there + n - windows.length))
-        return [(head, names[i], low, high) for i, low, high in sorted(rows) if not contexts[names[i]][1]]
+    """For windows.repeated: the blocks of a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, contexts, out = None, {}, []
+        blocks, names, rows = ReferenceBlocks(windows.length), [], set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("head", "context", "content", "whole")), strict=True):
-                if row[0] != head:
-                    out += factors(head, contexts)
-                    head, contexts = row[0], {}
-                contexts[row[1]] = row[2:]
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-                out = []
-        out += factors(head, contexts)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            for key, name, copy, content in zip(*(batch.column(c).to_pylist() for c in ("key", "name", "copy", "content")), strict=True):
+                if (name, copy) in seen:
+                    continue
+                seen.add((name, copy))
+                names.append((key, name, copy))
+                for at, block, there, n in blocks.parse(content.split()):
+                    rows |= {(len(names) - 1, at, at + n - windows.length), (block, there, there + n - windows.length)}
+        found = [(*names[i][:2], low, high) for i, low, high in rows if names[i][2] == 0]
+        if found:
+            kinds = {"key": pa.int64(), "name": pa.int64(), "low": pa.int32(), "high": pa.int32()}
+            yield from pa.table({c: pa.array(x, k) for (c, k), x in zip(kinds.items(), zip(*found, strict=True), strict=True)}).to_batches(50_000)
 
     return run
 
@@ -110,8 +108,6 @@ def cut_words(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def word_starts(text: bytes) -> list[int]:
-    import numpy as np
-
     from prosemill.llm.textarrays import words
 
     return words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist()

@@ -1,13 +1,16 @@
 """Suffix-array de-duplication of byte strings by a logarithmic index family.
 
-``SuffixLevels`` holds suffix arrays whose sizes are powers of two batches. A new batch gets its suffix array, is
-merge-scanned against every level for matches of the whole length, and goes in as the smallest level; while two levels
-have the same size they merge to one of twice the size. Each suffix thus moves a logarithmic number of times.
-
-The arrays are sparse and shallow, which loses nothing here. Sparse: ``windows.repeated`` brings only suffixes of contexts
-that share an anchor's head with a different context; all others are decided by counting. Shallow: only a match of
-``length`` bytes counts, so suffixes are ordered by the 128-bit fingerprint of their first ``length`` bytes, not byte by
-byte. Equal prefixes are neighbours in either order, and two arrays merge by one numpy sort.
+``SuffixLevels`` is a family of suffix arrays whose sizes are powers of two batches. A new batch gets its suffix array, in the
+order of the suffixes' bytes. While a level of its own size exists, the two merge to one of twice the size; it is then
+merge-scanned against every larger level. Merging or scanning, suffixes that agree in ``length`` bytes are neighbours, and
+both are marked. Of such suffixes a level keeps one, the others being marked already, so a passage that thousands share is
+carried once. Each suffix moves a logarithmic number of times.
+
+The corpus has one family for each shard that ``windows`` deals, in which all suffixes meet that could agree in so many bytes;
+a shard's batches are cut from its contexts as they come. A task holds the levels of its shard, so a lost executor costs
+the shards it was at, which are dealt anew from a written table.
+
+Suffixes are ordered by their first ``length`` bytes, as only matches so long count, and taken at window starts only.
 """
 
 from __future__ import annotations
@@ -20,103 +23,159 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm.storage import Scratch
-from prosemill.llm.textarrays import Fingerprints, text_bytes
+from prosemill.llm.textarrays import BASES, BYTE_SYMBOLS, U64, chunks, powers, text_bytes
 from prosemill.llm.windows import Windows, keyed, repeated, runs, window_places, with_spans
 
-#: Contexts in a batch of the index, and suffixes after which it is emptied at the next head.
-BATCH, ENOUGH = 256, 1 << 18
+#: Bytes of contexts in a batch.
+BATCH = 1 << 20
 OWN = ("n_bytes", "spans", "kept")
 
 
-class SuffixLevels:
-    """Suffixes are (one, two, serial): the fingerprint of the prefix, and a number of the caller's."""
+class Bytes:
+    """A growing text that compares any two of its places: by eight bytes as a number, or by fingerprints of ranges."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[int, np.ndarray]] = []
-        self.matched: list[np.ndarray] = []
+        self.size = 0
+        self.data = np.zeros(8, np.uint8)
+        self.sums = [np.zeros(1, U64) for _ in BASES]
+
+    def append(self, data: np.ndarray) -> int:
+        """Returns where the new bytes begin."""
+        first, self.size = self.size, self.size + len(data)
+        self.data = np.concatenate([self.data[:first], data, np.zeros(8, np.uint8)])
+        for which, sums in enumerate(self.sums):
+            up, _ = powers(which, self.size + 1)
+            self.sums[which] = np.concatenate([sums, sums[-1] + np.cumsum(BYTE_SYMBOLS[data] * up[first : self.size])])
+        return first
+
+    def eight(self, places: np.ndarray, left: np.ndarray | int) -> np.ndarray:
+        """The eight bytes at each place, or as many as are left, as numbers in the order of the bytes."""
+        found = np.ndarray((len(self.data) - 7,), ">u8", self.data.data, strides=(1,))[places].astype(U64)
+        return found >> (U64(8) * np.maximum(0, 8 - np.asarray(left)).astype(U64))
+
+    def prints(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple((sums[places + length] - sums[places]) * powers(which, self.size + 1)[1][places] for which, sums in enumerate(self.sums))
+
+    def common(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+        """How many bytes each pair of places has in common, below length, by bisection."""
+        sums, (up, _) = self.sums[0], powers(0, self.size + 1)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        shift, n = up[b - a], np.zeros(len(a), np.int64)
+        step = 1 << (max(1, length - 1).bit_length() - 1)
+        while step:
+            more = n + step
+            same = (more < length) & ((sums[a + np.minimum(more, length)] - sums[a]) * shift == sums[b + np.minimum(more, length)] - sums[b])
+            n += step * same
+            step >>= 1
+        return n
+
+
+def suffix_order(text: Bytes, places: np.ndarray, one: np.ndarray, two: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at these places, and whether each has its first ``length`` bytes in common with the one before.
+
+    one, two: fingerprints of those bytes. The sort is stable and takes the sorted runs it finds as they are, so two arrays
+    that lie end to end merge in linear time. Suffixes that eight bytes do not tell apart are ordered by the eight bytes
+    after those that all of their group share, until each group is of one string.
+    """
+    key = text.eight(places, length)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    tied = np.r_[False, key[1:] == key[:-1]][: len(order)]
+    while True:
+        at = np.flatnonzero(tied)
+        a, b = order[at - 1], order[at]
+        unlike = at[(one[a] != one[b]) | (two[a] != two[b])]
+        if not len(unlike):
+            return order, tied
+        group = np.cumsum(~tied) - 1
+        is_open = np.zeros(group[-1] + 1, bool)
+        is_open[group[unlike]] = True
+        members = np.flatnonzero(is_open[group])
+        own = group[members]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        shared = np.full(len(members), length, np.int64)
+        later = np.flatnonzero(tied[members])
+        x, y = order[members[later] - 1], order[members[later]]
+        differs = np.flatnonzero((one[x] != one[y]) | (two[x] != two[y]))
+        shared[later[differs]] = text.common(places[x[differs]], places[y[differs]], length)
+        depth = np.repeat(np.minimum.reduceat(shared, first), np.diff(np.r_[first, len(members)]))
+        own_order = order[members]
+        key = text.eight(places[own_order] + depth, length - depth)
+        again = np.lexsort((key, own))
+        order[members], key = own_order[again], key[again]
+        tied[members] = np.r_[False, (own[1:] == own[:-1]) & (key[1:] == key[:-1])]
 
-    KIND = np.dtype([("one", np.uint64), ("two", np.uint64), ("serial", np.int64)])
 
-    def __len__(self) -> int:
-        return sum(len(x) for _, x in self.levels)
+class SuffixLevels:
+    """add() takes texts; matched says of every window so far, in the order added, whether another agrees with it."""
 
-    def add(self, one: np.ndarray, two: np.ndarray, serial: np.ndarray) -> None:
-        batch = np.empty(len(one), self.KIND)
-        batch["one"], batch["two"], batch["serial"] = one, two, serial
-        batch = batch[np.lexsort((two, one))]
-        same = (batch["one"][1:] == batch["one"][:-1]) & (batch["two"][1:] == batch["two"][:-1])
-        self.matched.append(batch["serial"][np.r_[same, False] | np.r_[False, same]])
-        for _, level in self.levels:
-            self.scan(batch, level)
-        size = 1
+    def __init__(self, length: int) -> None:
+        self.length, self.text = length, Bytes()
+        self.levels: list[tuple[int, np.ndarray]] = []
+        self.places, self.one, self.two, self.matched = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
+
+    def sorted(self, suffixes: np.ndarray) -> np.ndarray:
+        """One of each set of suffixes that agree, in order; all that agree with another are marked."""
+        order, same = suffix_order(self.text, self.places[suffixes], self.one[suffixes], self.two[suffixes], self.length)
+        suffixes = suffixes[order]
+        self.matched[suffixes[same | np.r_[same[1:], False][: len(same)]]] = True
+        return suffixes[~same]
+
+    def add(self, data: np.ndarray, starts: np.ndarray) -> None:
+        """data: the batch's contexts end to end; starts: where its windows begin."""
+        places = self.text.append(data) + starts
+        one, two = self.text.prints(places, self.length)
+        new = np.arange(len(self.places), len(self.places) + len(places))
+        self.places, self.one, self.two = np.r_[self.places, places], np.r_[self.one, one], np.r_[self.two, two]
+        self.matched = np.r_[self.matched, np.zeros(len(places), bool)]
+        batch, size = self.sorted(new), 1
         while self.levels and self.levels[-1][0] == size:
-            batch, size = self.merged(self.levels.pop()[1], batch), size * 2
+            batch, size = self.sorted(np.concatenate([self.levels.pop()[1], batch])), size * 2
+        for _, level in self.levels:
+            self.sorted(np.concatenate([level, batch]))
         self.levels.append((size, batch))
 
-    def scan(self, batch: np.ndarray, level: np.ndarray) -> None:
-        """Marks both sides of every match between two arrays: their merge has matching suffixes side by side."""
-        both = self.merged(level, batch)
-        same = (both["one"][1:] == both["one"][:-1]) & (both["two"][1:] == both["two"][:-1])
-        self.matched.append(both["serial"][np.r_[same, False] | np.r_[False, same]])
-
-    @staticmethod
-    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        both = np.concatenate([a, b])
-        return both[np.lexsort((both["two"], both["one"]))]
-
-    def matches(self) -> np.ndarray:
-        """Serials of all suffixes with a match so far."""
-        return np.unique(np.concatenate(self.matched)) if self.matched else np.zeros(0, np.int64)
-
 
 def resolve(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For windows.repeated: an index family for each run of heads that holds ENOUGH suffixes."""
-
-    def answer(index: SuffixLevels, kept: list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        head, context = (pa.concat_arrays([k[i] for k in kept]) for i in (0, 1))
-        whole, which, place = (np.concatenate([k[i] for k in kept]) for i in (2, 3, 4))
-        hits = index.matches()
-        which, low, high = runs(which[hits], place[hits])
-        asked = ~whole[which]
-        rows = pa.array(which[asked])
-        return pa.RecordBatch.from_arrays([head.take(rows), context.take(rows), pa.array(low[asked].astype(np.int32)), pa.array(high[asked].astype(np.int32))], names=["head", "context", "low", "high"])
+    """For windows.repeated: a shard's family, and the runs of matched windows of its contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, kept, contexts, suffixes = SuffixLevels(), [], 0, 0
-        seen: set[int] = set()
-        last = None
+        index, kept, waiting, size, many = SuffixLevels(windows.length), [], [], 0, 0
+        seen: set[tuple[int, int]] = set()
+
+        def enter() -> None:
+            nonlocal waiting, size, many
+            part = pa.Table.from_batches(waiting).combine_chunks()
+            data, bounds = text_bytes(part.column("content"))
+            context, place = window_places(bounds, windows.length)
+            index.add(data, bounds[context] + place)
+            kept.append((part.drop_columns(["content", "many"]), context + many, place))
+            waiting, size, many = [], 0, many + part.num_rows
+
         for batch in batches:
-            heads, names = batch.column("head").to_numpy(), batch.column("context").to_numpy()
-            cuts = np.unique(np.r_[np.arange(0, len(heads), BATCH), np.flatnonzero(heads[1:] != heads[:-1]) + 1, len(heads)])
-            a = 0
-            while a < len(heads):
-                if len(index) > ENOUGH and heads[a] != last:
-                    yield answer(index, kept)
-                    index, kept, contexts, suffixes = SuffixLevels(), [], 0, 0
-                b = int(cuts[np.searchsorted(cuts, a + BATCH, "right") - 1])
-                if heads[a] != last:
-                    seen.clear()
-                rows = []
-                for i in range(a, b):
-                    if heads[i] != last:
-                        seen.clear()
-                        last = heads[i]
-                    if (name := int(names[i])) not in seen:
-                        seen.add(name)
-                        rows.append(i)
-                a = b
-                if not rows:
-                    continue
-                part = batch.take(pa.array(rows))
-                symbols, bounds = windows.symbols(*text_bytes(part.column("content")))
-                which, place = window_places(bounds, windows.length)
-                at = bounds[which] + place
-                one, two = (Fingerprints(symbols, x).ranges(at, at + windows.length) for x in (0, 1))
-                index.add(one, two, np.arange(suffixes, suffixes + len(one)))
-                kept.append((part.column("head"), part.column("context"), part.column("whole").to_numpy(zero_copy_only=False), which + contexts, place))
-                contexts, suffixes = contexts + len(rows), suffixes + len(one)
+            new = []
+            for i, name in enumerate(zip(batch.column("name").to_pylist(), batch.column("copy").to_pylist(), strict=True)):
+                if name not in seen:
+                    seen.add(name)
+                    new.append(i)
+            batch = batch.take(pa.array(new, pa.int64()))
+            _, sizes = text_bytes(batch.column("content"))
+            for a, b in chunks(sizes, BATCH // 8):
+                waiting.append(batch.slice(a, b - a))
+                size += int(sizes[b] - sizes[a])
+                if size >= BATCH:
+                    enter()
+        if waiting:
+            enter()
         if kept:
-            yield answer(index, kept)
+            names = pa.concat_tables([k[0] for k in kept]).combine_chunks()
+            context, place = (np.concatenate([k[i] for k in kept]) for i in (1, 2))
+            first = names.column("copy").to_numpy() == 0
+            hits = np.flatnonzero(index.matched & first[context])
+            which, low, high = runs(context[hits], place[hits])
+            names = names.take(pa.array(which)).combine_chunks()
+            for batch in pa.table({"key": names.column("key"), "name": names.column("name"), "low": low.astype(np.int32), "high": high.astype(np.int32)}).to_batches(50_000):
+                yield batch
 
     return run
 

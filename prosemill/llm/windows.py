@@ -1,20 +1,21 @@
-"""Which windows of a fixed number of symbols occur more than once in a corpus, exactly, from sampled suffixes.
-
-Writing a row for every position of the corpus would move many times its size. Instead each window names one *anchor*:
-the place, among its runs of ``head`` symbols, where the run's fingerprint is least. Equal windows hold their anchors at
-the same place, so only the suffixes at anchors (two in every ``length - head + 2`` positions) need to be compared:
-
-1. Anchors whose head occurs once in the corpus can hold no repeated window. (One aggregation by head, combined before
-   the shuffle, so that a passage in a third of all rows is a row from each task.)
-2. An anchor's *context* is the union of the windows that name it. A context that occurs twice repeats in full.
-3. Contexts of one head that are not equal overlap in part: the edges of passages. One example of each goes, with its
-   symbols, to ``resolve``, a task-side index dealt by head. Heads with more than ``hot`` different contexts go another
-   way, which needs no task to hold a head: a row for each of their windows, counted by fingerprint with combining.
-
-Windows of one context all differ, as each holds the anchor at another place; a window that two different contexts hold
-is repeated. (A row that the table holds twice may bring a context twice.)
-
-Windows are compared by 128 bits: two fingerprints to independent bases, or a head and a context.
+"""Which windows of a fixed number of symbols occur more than once in a corpus: how windows reach the index that decides it.
+
+Moving every window to the windows it may equal would move many times the corpus. So each window names one *anchor*: the
+place, among its runs of ``head`` symbols, where the run's fingerprint is least. Equal windows hold their anchors at the
+same place, so they have the same head, and the *context* of an anchor, the union of the windows that name it, goes to the
+index once with all of them:
+
+1. Contexts whose head occurs once in the corpus hold no repeated window and go nowhere.
+2. Of equal contexts two go, with the text of two places that hold them, however many there are: pre-aggregation, combined
+   before the shuffle.
+3. Contexts are dealt by head to shards of about SHARD bytes, so windows that may be equal meet in one. ``resolve`` is the
+   index of a shard, and it alone says which windows are repeated: a family of suffix arrays or a set of reference blocks.
+4. A head with more than ``most`` different contexts is dealt further first: its windows are split in two by how far before
+   the anchor they begin, and each half by the symbols that all its windows hold, a longer key than the head. Halves with
+   different keys share no window; equal cuts are pre-aggregated again. At the last cut the key is the window itself, so
+   this ends, and no shard holds a hot head whole.
+
+Places that hold a context learn its repeated windows by a join, whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -30,21 +31,24 @@ from pyspark.sql import functions as F
 from prosemill.llm.storage import Scratch
 from prosemill.llm.textarrays import BYTE_SYMBOLS, SEGMENT, U64, Fingerprints, chunks, mixed, text_bytes, word_symbols, words
 
-#: Different contexts of one head that one task may hold.
-HOT = 4096
+#: Different contexts that a shard may hold of one key, and the bytes of contexts that a shard should hold.
+MOST, SHARD = 4096, 4 << 20
 KEY = ("doc_key", "text_key")
-ANCHORS = "doc_key string, text_key long, first int, many int, head long, context long"
+ANCHORS = "doc_key string, text_key long, first int, many int, key long, name long"
+CONTENT = "key long, name long, copy int, many int, content binary"
+PARTS = "parent_key long, parent_name long, shift int, key long, name long, many int, place int, low int, high int, content binary"
+RESOLVED = "key long, name long, low int, high int"
 POSITION = (1 << 24) - 1
 
 
 @dataclass(frozen=True)
 class Windows:
-    """unit: bytes or words; length: of a window; head: symbols by which windows choose their anchor."""
+    """unit: bytes or words; length: of a window; head: symbols by which windows choose their anchor; most: as MOST."""
 
     unit: str
     length: int
     head: int
-    hot: int = HOT
+    most: int = MOST
 
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of texts that lie end to end, and where each text's begin."""
@@ -53,6 +57,13 @@ class Windows:
         starts, ends, bounds = words(data, offsets)
         return word_symbols(data, starts, ends), bounds
 
+    def edges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte and end of each symbol, and where each text's symbols begin."""
+        if self.unit == "bytes":
+            at = np.arange(len(data))
+            return at, at + 1, offsets
+        return words(data, offsets)
+
 
 def segments(bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first symbol and end of the pieces in which a text's windows are sought; pieces overlap by length - 1."""
@@ -77,19 +88,23 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (least & U64(POSITION)).astype(np.int64)
 
 
+def named(prints: np.ndarray, place: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The name of a context: its symbols, where its anchor lies, and how many windows it has."""
+    return mixed(prints + place.astype(U64) * U64(0x9E3779B97F4A7C15) + many.astype(U64))
+
+
 def anchors(symbols: np.ndarray, length: int, head: int) -> tuple[np.ndarray, ...]:
-    """Of one piece: each anchor's first window, number of windows, head and context."""
+    """Of one piece: each anchor's first window, number of windows, head, context and place."""
     n = len(symbols) - length + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64),) * 2 + (np.zeros(0, np.int64),)
     one, two = Fingerprints(symbols, 0), Fingerprints(symbols, 1)
     heads = one.windows(head)
     at = sliding_argmin(heads, length - head + 1)[:n]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     many = np.diff(np.r_[first, n])
     place = at[first]
-    context = two.ranges(first, first + many + length - 1)
-    return first, many, heads[place], mixed(context + (place - first).astype(U64) * U64(0x9E3779B97F4A7C15) + many.astype(U64))
+    return first, many, heads[place], named(two.ranges(first, first + many + length - 1), place - first, many), place
 
 
 def anchor_rows(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -101,24 +116,29 @@ def anchor_rows(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 found = []
                 for text, first, end in zip(*segments(bounds, windows.length), strict=True):
                     if end - first >= windows.length:
-                        start, many, head, context = anchors(symbols[first:end], windows.length, windows.head)
-                        found.append((np.full(len(start), a + text), start + (first - bounds[text]), many, head, context))
+                        start, many, key, name, _ = anchors(symbols[first:end], windows.length, windows.head)
+                        found.append((np.full(len(start), a + text), start + (first - bounds[text]), many, key, name))
                 if found:
-                    text, start, many, head, context = (np.concatenate(x) for x in zip(*found, strict=True))
+                    text, start, many, key, name = (np.concatenate(x) for x in zip(*found, strict=True))
                     rows = pa.array(text)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_key").take(rows), batch.column("text_key").take(rows), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(head.view(np.int64)), pa.array(context.view(np.int64))],
-                        names=["doc_key", "text_key", "first", "many", "head", "context"],
+                        [batch.column("doc_key").take(rows), batch.column("text_key").take(rows), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(name.view(np.int64))],
+                        names=["doc_key", "text_key", "first", "many", "key", "name"],
                     )
 
     return run
 
 
 def context_rows(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cuts each wanted context out of its text: for bytes as they are, for words from the first to the end of the last."""
+    """Cuts each wanted context out of its text; of rows alike in id and text, which come one after another, out of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in KEY), strict=True))
+            new = [i for i, name in enumerate(names) if name != (names[i - 1] if i else last)]
+            last = names[-1] if names else last
+            batch = batch.take(pa.array(new, pa.int64()))
             data, offsets = text_bytes(batch.column("text"))
             wanted = batch.column("wanted")
             for a, b in chunks(offsets):
@@ -126,36 +146,50 @@ def context_rows(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 rows = part.flatten()
                 text = np.repeat(np.arange(b - a), part.value_lengths().to_numpy())
                 first, many = (rows.field(x).to_numpy().astype(np.int64) for x in ("first", "many"))
-                own, begin = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                if windows.unit == "bytes":
-                    starts, ends = begin[text] + first, begin[text] + first + many + windows.length - 1
-                else:
-                    word_starts, word_ends, bounds = words(own, begin)
-                    starts = word_starts[bounds[text] + first]
-                    ends = word_ends[bounds[text] + first + many + windows.length - 2]
+                own = data[offsets[a] : offsets[b]]
+                begins, ends, bounds = windows.edges(own, offsets[a : b + 1] - offsets[a])
+                begin, end = begins[bounds[text] + first], ends[bounds[text] + first + many + windows.length - 2]
                 raw = own.tobytes()
-                content = pa.array([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.field("head"), rows.field("context"), rows.field("many"), content], names=["head", "context", "many", "content"])
+                # cut again by bytes, as contexts overlap and may come to more than an Arrow array holds
+                for i, j in chunks(np.r_[0, np.cumsum(end - begin)]):
+                    content = pa.array([raw[s:e] for s, e in zip(begin[i:j].tolist(), end[i:j].tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(rows.field(x).slice(i, j - i) for x in ("key", "name", "copy", "many")), content], names=["key", "name", "copy", "many", "content"])
 
     return run
 
 
-def window_rows(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row for each window of contexts of hot heads."""
+def part_rows(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The two parts of each context of a hot key. low and high: how far before the anchor its windows may begin (null: anywhere)."""
+    length, reach = windows.length, windows.length - windows.head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                symbols, bounds = windows.symbols(*text_bytes(part.column("content")))
-                context, place = window_places(bounds, windows.length)
-                at = bounds[context] + place
-                one, two = (Fingerprints(symbols, x).ranges(at, at + windows.length) for x in (0, 1))
-                rows = pa.array(context)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("head").take(rows), part.column("context").take(rows), pa.array(place.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    names=["head", "context", "place", "one", "two"],
-                )
+            for a in range(0, batch.num_rows, 1024):
+                rows = batch.slice(a, 1024)
+                data, offsets = text_bytes(rows.column("content"))
+                symbols, bounds = windows.symbols(data, offsets)
+                begins, ends, _ = windows.edges(data, offsets)
+                one, two = Fingerprints(symbols, 0), Fingerprints(symbols, 1)
+                out: list[tuple] = []
+                fields = zip(*(rows.column(c).to_pylist() for c in ("key", "name", "many", "place", "low", "high")), bounds[:-1].tolist(), strict=True)
+                for key, name, many, place, low, high, at in fields:
+                    if place is None:
+                        place, low, high = int(anchors(symbols[at : at + length], length, windows.head)[4][0]), 0, reach
+                    middle = (low + high) // 2
+                    for nearest, farthest in ((low, middle), (middle + 1, high)):
+                        first, last = max(0, place - farthest), min(many - 1, place - nearest)
+                        if nearest <= farthest and first <= last:
+                            held = one.ranges(np.array([at + place - nearest]), np.array([at + place - farthest + length]))
+                            own = two.ranges(np.array([at + first]), np.array([at + last + length]))
+                            n = last - first + 1
+                            new_key = mixed(held + U64(key & (2**64 - 1)) + U64(nearest * 1024 + farthest))
+                            new_name = named(own, np.array([place - first]), np.array([n]))
+                            cut = data[begins[at + first] : ends[at + last + length - 1]].tobytes()
+                            out.append((key, name, first, int(new_key.view(np.int64)[0]), int(new_name.view(np.int64)[0]), n, place - first, nearest, farthest, cut))
+                kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary()]
+                names = [x.split()[0] for x in PARTS.split(", ")]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
@@ -177,49 +211,58 @@ def runs(context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return context[first], place[first], place[last]
 
 
-RESOLVED = "head long, context long, low int, high int"
+def contexts(docs: DataFrame, shared: DataFrame, windows: Windows) -> DataFrame:
+    """CONTENT rows: of each context the text of one place, or of two if more hold it."""
+    place = F.struct("doc_key", "text_key", "first", "many")
+    examples = shared.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("one"), F.max(place).alias("two"))
+    copies = examples.select("key", "name", F.posexplode(F.when(F.col("times") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("copy", "at"))
+    wanted = copies.groupBy("at.doc_key", "at.text_key").agg(F.collect_list(F.struct("at.first", "at.many", "key", "name", "copy")).alias("wanted"))
+    held = docs.join(wanted.hint("merge"), [docs[k].eqNullSafe(wanted[k]) for k in KEY]).select(docs["doc_key"], docs["text_key"], "text", "wanted")
+    return held.mapInArrow(context_rows(windows), CONTENT)
+
+
+def dealt_further(content: DataFrame, windows: Windows, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """Content without a key of more than ``most`` contexts, and of each round the parts with the contexts they were cut from."""
+    settled, rounds = [], []
+    content = content.withColumns({c: F.lit(None).cast("int") for c in ("place", "low", "high")})
+    while True:
+        different = content.where("copy = 0 and (low is null or low < high)").groupBy("key").agg(F.count(F.lit(1)).alias("different"))
+        hot = scratch.write(different.where(F.col("different") > windows.most).select("key"), f"hot{len(rounds)}")
+        if hot.isEmpty():
+            whole = content
+            for more in settled:
+                whole = whole.unionByName(more)
+            return whole.select("key", "name", "copy", "many", "content"), rounds
+        settled.append(content.join(hot.hint("merge"), "key", "left_anti"))
+        parts = content.join(hot.hint("merge"), "key", "left_semi").select("key", "name", "many", "content", "place", "low", "high").mapInArrow(part_rows(windows), PARTS)
+        parts = scratch.write(parts, f"parts{len(rounds)}")
+        rounds.append(parts.select("parent_key", "parent_name", "shift", "key", "name").distinct())
+        same = parts.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), *(F.any_value(c).alias(c) for c in ("many", "place", "low", "high", "content")))
+        twice = F.explode(F.when(F.col("times") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+        content = scratch.write(same.select("key", "name", twice, "many", "content", "place", "low", "high"), f"content{len(rounds)}")
 
 
 def repeated(docs: DataFrame, windows: Windows, resolve: Callable[[Windows], Callable], scratch: Scratch) -> DataFrame:
     """docs: doc_key, text_key, text. Returns for each key with any: spans, of first and last starts of repeated windows.
 
-    resolve(windows) maps batches of (head, context, many, content, whole), sorted by head, to RESOLVED rows.
+    resolve(windows) maps the CONTENT rows of a shard to RESOLVED rows of those of copy 0.
     """
     found = scratch.write(docs.mapInArrow(anchor_rows(windows), ANCHORS), "anchors")
-    heads = found.groupBy("head").agg(F.count(F.lit(1)).alias("times"), F.min("context").alias("least"), F.max("context").alias("most")).where("times > 1")
-    shared = scratch.write(found.join(heads.select("head", (F.col("least") == F.col("most")).alias("uniform")), "head"), "shared")
-    scratch.drop("anchors")
-
-    mixed_heads = shared.where("not uniform")
-    example = F.min(F.struct("doc_key", "text_key", "first", "many")).alias("example")
-    contexts = scratch.write(mixed_heads.groupBy("head", "context").agg(F.count(F.lit(1)).alias("times"), example), "contexts")
-    sizes = contexts.groupBy("head").agg(F.count(F.lit(1)).alias("different"))
-    wanted = (
-        contexts.select("example.doc_key", "example.text_key", F.struct("example.first", "example.many", "head", "context").alias("one"))
-        .groupBy(*KEY)
-        .agg(F.collect_list("one").alias("wanted"))
-    )
-    content = docs.join(wanted, [docs[k].eqNullSafe(wanted[k]) for k in KEY]).select("text", "wanted").mapInArrow(context_rows(windows), "head long, context long, many int, content binary")
-    known = contexts.select("head", "context", (F.col("times") > 1).alias("whole")).join(sizes, "head")
-    content = scratch.write(content.join(known, ["head", "context"]), "content")
-
-    usual = content.where(F.col("different") <= windows.hot).select("head", "context", "many", "content", "whole")
-    by_index = usual.repartition("head").sortWithinPartitions("head").mapInArrow(resolve(windows), RESOLVED)
-    hot = content.where(F.col("different") > windows.hot).select("head", "context", "content").mapInArrow(window_rows(windows), "head long, context long, place int, one long, two long")
-    often = hot.groupBy("one", "two").agg(F.min("context").alias("least"), F.max("context").alias("most")).where("least <> most").select("one", "two")
-    by_count = hot.join(often, ["one", "two"]).select("head", "context", F.col("place").alias("low"), F.col("place").alias("high"))
-    edges = by_index.unionByName(by_count).groupBy("head", "context").agg(F.collect_list(F.struct("low", "high")).alias("edges"))
-    edges = scratch.write(edges, "edges")
-
-    whole = F.array(F.struct(F.lit(0).alias("low"), (F.col("many") - 1).alias("high")))
-    plain = shared.where("uniform").select(*KEY, "first", whole.alias("edges"))
-    several = contexts.where("times > 1").select("head", "context", F.lit(True).alias("several"))
-    partly = (
-        mixed_heads.join(several, ["head", "context"], "left").join(edges, ["head", "context"], "left")
-        .select(*KEY, "first", F.when(F.col("several"), whole).otherwise(F.col("edges")).alias("edges")).where("edges is not null")
-    )
-    both = plain.unionByName(partly).select(*KEY, F.transform("edges", lambda e: F.struct((F.col("first") + e["low"]).alias("low"), (F.col("first") + e["high"]).alias("high"))).alias("edges"))
-    return both.groupBy(*KEY).agg(F.flatten(F.collect_list("edges")).alias("spans"))
+    # Written, so that adaptive execution may split a hot head of the join.
+    heads = scratch.write(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), "heads")
+    shared = scratch.write(found.join(heads.hint("merge"), "key"), "shared")
+    scratch.drop("anchors", "heads")
+    content = scratch.write(contexts(docs, shared, windows), "content")
+    content, rounds = dealt_further(content, windows, scratch)
+    size = content.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    edges = scratch.write(content.repartition(max(1, -(-size // SHARD)), "key").mapInArrow(resolve(windows), RESOLVED), "edges")
+    for i, parts in reversed(list(enumerate(rounds))):
+        above = parts.join(edges.hint("merge"), ["key", "name"]).select(F.col("parent_key").alias("key"), F.col("parent_name").alias("name"), (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
+        edges = scratch.write(edges.unionByName(above), f"edges{i}")
+    edges = scratch.write(edges.groupBy("key", "name").agg(F.collect_set(F.struct("low", "high")).alias("edges")), "repeats")
+    places = shared.join(edges.hint("merge"), ["key", "name"]).select(*KEY, F.transform("edges", lambda e: F.struct((F.col("first") + e["low"]).alias("low"), (F.col("first") + e["high"]).alias("high"))).alias("edges"))
+    # A set, as rows alike in id and text bring the same edges.
+    return places.groupBy(*KEY).agg(F.flatten(F.collect_set("edges")).alias("spans"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -229,4 +272,4 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     same: list[Column] = [docs[k].eqNullSafe(spans[k]) for k in KEY]
-    return docs.join(spans, same, "left").drop(*[spans[k] for k in KEY])
+    return docs.join(spans.hint("merge"), same, "left").drop(*[spans[k] for k in KEY])

@@ -69,28 +69,60 @@ def test_repeated_words(spark, length):
         assert found[i]["kept_text"].split() == left
 
 
-def test_hot_heads_go_another_way_to_the_same_result(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 3])
+def test_hot_heads_are_dealt_further(spark, monkeypatch, most):
+    """most 0: every head is dealt down to its single windows."""
     from prosemill.llm import windows
 
-    docs = spark.createDataFrame(passages(5), "doc_id long, text string")
-    usual = rows_of(remove_repeated_passages(docs, 12), "doc_id", "kept_words")
     make = windows.Windows
-    monkeypatch.setattr("prosemill.llm.lempel_ziv.Windows", lambda *a: make(*a, hot=0))
-    assert rows_of(remove_repeated_passages(docs, 12), "doc_id", "kept_words") == usual
+    for module, run, length, kept in (("lempel_ziv", remove_repeated_passages, 12, "kept_words"), ("suffix_index", remove_repeated_bytes, 50, "kept")):
+        docs = spark.createDataFrame(passages(5), "doc_id long, text string")
+        usual = rows_of(run(docs, length), "doc_id", kept)
+        with monkeypatch.context() as m:
+            m.setattr(f"prosemill.llm.{module}.Windows", lambda *a: make(*a, most=most))
+            assert rows_of(run(docs, length), "doc_id", kept) == usual
+
+
+def long_texts():
+    """Two texts over a segment of a mebibyte, with passages in common across the places where segments end."""
+    rng = random.Random(8)
+    words = [f"{rng.getrandbits(40):x}" for _ in range(130_000)]
+    return [(1, " ".join(words)), (2, " ".join([*words[-60_000:-59_000], *(f"{rng.getrandbits(40):x}" for _ in range(110_000)), *words[90_000:120_000]])), (3, " ".join(words[5:60]))]
+
+
+def test_long_texts_repeat_across_segments(spark):
+    docs = long_texts()
+    assert len(docs[0][1]) > 1 << 20 < len(docs[1][1])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r["doc_id"]: r["kept"] for r in remove_repeated_bytes(df, 400).collect()}
+    raw = [t.encode() for _, t in docs]
+    for (i, _), text, flags in zip(docs, raw, covered_by_hash(raw, 400), strict=True):
+        assert sha(found[i]) == sha(bytes(c for c, f in zip(text, flags, strict=True) if not f)), i
+    found = {r["doc_id"]: r["kept_words"] for r in remove_repeated_passages(df, 35).collect()}
+    split = [t.split() for _, t in docs]
+    for (i, _), text, flags in zip(docs, split, covered_by_hash(split, 35), strict=True):
+        assert sha(found[i].encode()) == sha(" ".join(w for w, f in zip(text, flags, strict=True) if not f).encode()), i
 
 
-def test_long_texts_are_cut_into_segments(spark, monkeypatch):
-    docs = spark.createDataFrame(passages(6), "doc_id long, text string")
-    usual = rows_of(remove_repeated_bytes(docs, 50), "doc_id", "kept")
-    from prosemill.llm import windows
+def covered_by_hash(sequences, length):
+    """covered, with the digest of each window in the place of the window."""
+    digest = lambda s: hashlib.blake2b(s if isinstance(s, bytes) else " ".join(s).encode(), digest_size=16).digest()
+    prints = [[digest(s[p : p + length]) for p in range(len(s) - length + 1)] for s in sequences]
+    seen = Counter(x for own in prints for x in own)
+    for s, own in zip(sequences, prints, strict=True):
+        flags = bytearray(len(s))
+        for p, x in enumerate(own):
+            if seen[x] > 1:
+                flags[p : p + length] = b"\x01" * length
+        yield flags
 
-    data, bounds = [len(t) for _, t in passages(6)], 64
-    monkeypatch.setattr(windows, "SEGMENT", bounds)
-    import numpy as np
 
-    text, first, end = windows.segments(np.cumsum([0, *data]), 50)
-    assert max(end - first) <= bounds + 49 and len(text) > len(data)
-    assert usual
+def test_many_rows_alike_in_id_and_text(spark):
+    """A third of all rows may be one: its places are one array, not one for each pair of rows."""
+    text = " ".join(f"word{i}" for i in range(200))
+    docs = spark.createDataFrame([(None, text)] * 5000 + [(1, "other " + text), (2, "alone " * 3)], "doc_id long, text string")
+    done = remove_repeated_passages(docs).groupBy("doc_id", "kept_words").count().collect()
+    assert {(r["doc_id"], r["kept_words"], r["count"]) for r in done} == {(None, "", 5000), (1, "other", 1), (2, "alone alone alone", 1)}
 
 
 def test_edges_of_bytes_and_words(edges, empty):
@@ -109,14 +141,21 @@ def test_edges_of_bytes_and_words(edges, empty):
 def test_suffix_levels_keep_a_logarithmic_family():
     import numpy as np
 
-    index, rng = SuffixLevels(), np.random.default_rng(1)
-    keys = rng.integers(0, 300, 640).astype(np.uint64)
-    for i in range(0, 640, 40):
-        index.add(keys[i : i + 40], keys[i : i + 40], np.arange(i, i + 40))
+    rng, length = random.Random(1), 12
+    index, texts = SuffixLevels(length), []
+    for _ in range(16):
+        text = "".join(rng.choice("ab") for _ in range(rng.randint(12, 90))).encode() + bytes(rng.choices(b"abc", k=40))
+        texts.append(text)
+        index.add(np.frombuffer(text, np.uint8), np.arange(len(text) - length + 1))
         sizes = [n for n, _ in index.levels]
-        assert sizes == sorted(set(sizes), reverse=True)
-    times = Counter(keys.tolist())
-    assert index.matches().tolist() == [i for i, k in enumerate(keys.tolist()) if times[k] > 1]
+        assert sizes == sorted(set(sizes), reverse=True) and all(n & (n - 1) == 0 for n in sizes)
+        for _, level in index.levels:  # in the order of the suffixes' bytes, each string once
+            whole = b"".join(texts)
+            strings = [whole[p : p + length] for p in index.places[level]]
+            assert strings == sorted(set(strings))
+    windows = [t[p : p + length] for t in texts for p in range(len(t) - length + 1)]
+    times = Counter(windows)
+    assert index.matched.tolist() == [times[w] > 1 for w in windows]
 
 
 def test_factors_run_across_blocks():
