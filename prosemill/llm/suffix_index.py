@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm.storage import Scratch
-from prosemill.llm.textarrays import BASES, BYTE_SYMBOLS, U64, chunks, powers, text_bytes
+from prosemill.llm.textarrays import BASES, BYTE_SYMBOLS, U64, chunks, power_at, power_range, text_bytes
 from prosemill.llm.windows import Windows, keyed, repeated, runs, window_places, with_spans
 
 #: Bytes of contexts in a batch.
-BATCH = 1 << 20
+BATCH = 1 << 19
 OWN = ("n_bytes", "spans", "kept")
 
 
@@ -44,8 +44,7 @@ class Bytes:
         first, self.size = self.size, self.size + len(data)
         self.data = np.concatenate([self.data[:first], data, np.zeros(8, np.uint8)])
         for which, sums in enumerate(self.sums):
-            up, _ = powers(which, self.size + 1)
-            self.sums[which] = np.concatenate([sums, sums[-1] + np.cumsum(BYTE_SYMBOLS[data] * up[first : self.size])])
+            self.sums[which] = np.concatenate([sums, sums[-1] + np.cumsum(BYTE_SYMBOLS[data] * power_range(which, False, len(data), first))])
         return first
 
     def eight(self, places: np.ndarray, left: np.ndarray | int) -> np.ndarray:
@@ -54,13 +53,12 @@ class Bytes:
         return found >> (U64(8) * np.maximum(0, 8 - np.asarray(left)).astype(U64))
 
     def prints(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        return tuple((sums[places + length] - sums[places]) * powers(which, self.size + 1)[1][places] for which, sums in enumerate(self.sums))
+        return tuple((sums[places + length] - sums[places]) * power_at(which, True, places) for which, sums in enumerate(self.sums))
 
     def common(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
         """How many bytes each pair of places has in common, below length, by bisection."""
-        sums, (up, _) = self.sums[0], powers(0, self.size + 1)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        shift, n = up[b - a], np.zeros(len(a), np.int64)
+        sums, (a, b) = self.sums[0], (np.minimum(a, b), np.maximum(a, b))
+        shift, n = power_at(0, False, b - a), np.zeros(len(a), np.int64)
         step = 1 << (max(1, length - 1).bit_length() - 1)
         while step:
             more = n + step

@@ -21,7 +21,9 @@ BYTE_SYMBOLS = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=U
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers are products of two: of an exponent's bits above and below this one. No table grows with the text.
+LOW = 12
+_powers: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -34,36 +36,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i for i below n at least."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        base = BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            row = np.full(size, b, U64)
+def powers(which: int, inverse: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """B ** (i << LOW) (or its inverse) for exponents up to most, and B ** i below 1 << LOW."""
+    have = _powers.get((which, inverse))
+    if have is None or len(have[0]) <= most >> LOW:
+        base = pow(BASES[which], -1, 1 << 64) if inverse else BASES[which]
+        tables = []
+        for step, size in ((pow(base, 1 << LOW, 1 << 64), 1 << max(9, (most >> LOW).bit_length())), (base, 1 << LOW)):
+            row = np.full(size, step, U64)
             row[0] = 1
-            both.append(np.multiply.accumulate(row))
-        _powers[which] = have = (both[0], both[1])
+            tables.append(np.multiply.accumulate(row))
+        _powers[which, inverse] = have = (tables[0], tables[1])
     return have
 
 
+def power_range(which: int, inverse: bool, n: int, first: int = 0) -> np.ndarray:
+    """The powers of n exponents in a row."""
+    high, low = powers(which, inverse, first + n)
+    a, b = first >> LOW, -(-(first + n) >> LOW) if n else 0
+    return (high[a : max(a, b) + 1, None] * low).ravel()[first - (a << LOW) :][:n]
+
+
+def power_at(which: int, inverse: bool, exponents: np.ndarray) -> np.ndarray:
+    high, low = powers(which, inverse, int(exponents.max(initial=0)))
+    return high[exponents >> LOW] * low[exponents & ((1 << LOW) - 1)]
+
+
 class Fingerprints:
     """Of any ranges of one array of symbols."""
 
     def __init__(self, symbols: np.ndarray, which: int):
-        up, self.down = powers(which, len(symbols) + 1)
+        self.which = which
         self.sums = np.zeros(len(symbols) + 1, U64)
-        np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:])
+        np.cumsum(symbols * power_range(which, False, len(symbols)), out=self.sums[1:])
 
     def windows(self, length: int) -> np.ndarray:
         """Of every range of that length, by its start."""
         n = len(self.sums) - length
-        return mixed((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
+        return mixed((self.sums[length:] - self.sums[:n]) * power_range(self.which, True, n)) if n > 0 else np.zeros(0, U64)
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        return mixed((self.sums[ends] - self.sums[starts]) * power_at(self.which, True, starts))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from prosemill.llm.storage import Scratch
 from prosemill.llm.textarrays import BYTE_SYMBOLS, SEGMENT, U64, Fingerprints, chunks, mixed, text_bytes, word_symbols, words
 
 #: Different contexts that a shard may hold of one key, and the bytes of contexts that a shard should hold.
-MOST, SHARD = 4096, 4 << 20
+MOST, SHARD = 512, 2 << 20
 KEY = ("doc_key", "text_key")
 ANCHORS = "doc_key string, text_key long, first int, many int, key long, name long"
 CONTENT = "key long, name long, copy int, many int, content binary"
