@@ -12,8 +12,8 @@ index once with all of them:
    index of a shard, and it alone says which windows are repeated: a family of suffix arrays or a set of reference blocks.
 4. A head with more than ``most`` different contexts is dealt further first: its windows are split in two by how far before
    the anchor they begin, and each half by the symbols that all its windows hold, a longer key than the head. Halves with
-   different keys share no window; equal cuts are pre-aggregated again. At the last cut the key is the window itself, so
-   this ends, and no shard holds a hot head whole.
+   different keys share no window, so what is alone with its key goes nowhere again, and equal halves are pre-aggregated.
+   At the last cut the key is the window itself, so this ends, and no shard holds a hot head whole.
 
 Places that hold a context learn its repeated windows by a join, whose hot keys adaptive execution splits.
 """
@@ -153,7 +153,7 @@ def context_rows(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 # cut again by bytes, as contexts overlap and may come to more than an Arrow array holds
                 for i, j in chunks(np.r_[0, np.cumsum(end - begin)]):
                     content = pa.array([raw[s:e] for s, e in zip(begin[i:j].tolist(), end[i:j].tolist(), strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(rows.field(x).slice(i, j - i) for x in ("key", "name", "copy", "many")), content], names=["key", "name", "copy", "many", "content"])
+                    yield pa.RecordBatch.from_arrays([*(rows.field(x).slice(i, j - i) for x in ("key", "name", "copy", "many")), content, rows.field("hot").slice(i, j - i)], names=["key", "name", "copy", "many", "content", "hot"])
 
     return run
 
@@ -211,35 +211,44 @@ def runs(context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return context[first], place[first], place[last]
 
 
-def contexts(docs: DataFrame, shared: DataFrame, windows: Windows) -> DataFrame:
-    """CONTENT rows: of each context the text of one place, or of two if more hold it."""
+def hot_keys(rows: DataFrame, most: int) -> DataFrame:
+    """Keys of more than most of these rows."""
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > most).select("key", F.lit(True).alias("hot"))
+
+
+def contexts(docs: DataFrame, shared: DataFrame, windows: Windows, scratch: Scratch) -> DataFrame:
+    """CONTENT rows, and whether their key is hot: of each context the text of one place, or of two if more hold it."""
     place = F.struct("doc_key", "text_key", "first", "many")
-    examples = shared.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("one"), F.max(place).alias("two"))
-    copies = examples.select("key", "name", F.posexplode(F.when(F.col("times") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("copy", "at"))
-    wanted = copies.groupBy("at.doc_key", "at.text_key").agg(F.collect_list(F.struct("at.first", "at.many", "key", "name", "copy")).alias("wanted"))
+    examples = scratch.write(shared.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("one"), F.max(place).alias("two")), "examples")
+    hot = scratch.write(hot_keys(examples, windows.most), "hot")
+    copies = examples.join(hot.hint("merge"), "key", "left").select(
+        "key", "name", F.coalesce("hot", F.lit(False)).alias("hot"), F.posexplode(F.when(F.col("times") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("copy", "at")
+    )
+    wanted = copies.groupBy("at.doc_key", "at.text_key").agg(F.collect_list(F.struct("at.first", "at.many", "key", "name", "copy", "hot")).alias("wanted"))
     held = docs.join(wanted.hint("merge"), [docs[k].eqNullSafe(wanted[k]) for k in KEY]).select(docs["doc_key"], docs["text_key"], "text", "wanted")
-    return held.mapInArrow(context_rows(windows), CONTENT)
+    return held.mapInArrow(context_rows(windows), f"{CONTENT}, hot boolean")
 
 
 def dealt_further(content: DataFrame, windows: Windows, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """Content without a key of more than ``most`` contexts, and of each round the parts with the contexts they were cut from."""
-    settled, rounds = [], []
-    content = content.withColumns({c: F.lit(None).cast("int") for c in ("place", "low", "high")})
-    while True:
-        different = content.where("copy = 0 and (low is null or low < high)").groupBy("key").agg(F.count(F.lit(1)).alias("different"))
-        hot = scratch.write(different.where(F.col("different") > windows.most).select("key"), f"hot{len(rounds)}")
-        if hot.isEmpty():
-            whole = content
-            for more in settled:
-                whole = whole.unionByName(more)
-            return whole.select("key", "name", "copy", "many", "content"), rounds
-        settled.append(content.join(hot.hint("merge"), "key", "left_anti"))
-        parts = content.join(hot.hint("merge"), "key", "left_semi").select("key", "name", "many", "content", "place", "low", "high").mapInArrow(part_rows(windows), PARTS)
+    """Content without a hot key, and of each round the parts with the contexts they were cut from."""
+    settled, rounds = content.where("not hot").drop("hot"), []
+    content = content.where("hot").withColumns({c: F.lit(None).cast("int") for c in ("place", "low", "high")})
+    while not content.isEmpty():
+        parts = content.select("key", "name", "many", "content", "place", "low", "high").mapInArrow(part_rows(windows), PARTS)
         parts = scratch.write(parts, f"parts{len(rounds)}")
-        rounds.append(parts.select("parent_key", "parent_name", "shift", "key", "name").distinct())
-        same = parts.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), *(F.any_value(c).alias(c) for c in ("many", "place", "low", "high", "content")))
+        # Again a key that occurs once holds no repeated window.
+        again = scratch.write(parts.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), f"again{len(rounds)}")
+        held = parts.join(again.hint("merge"), "key")
+        same = held.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), *(F.any_value(c).alias(c) for c in ("many", "place", "low", "high", "content")))
+        same = scratch.write(same, f"same{len(rounds)}")
+        hot = hot_keys(same.where("low < high"), windows.most)
         twice = F.explode(F.when(F.col("times") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
-        content = scratch.write(same.select("key", "name", twice, "many", "content", "place", "low", "high"), f"content{len(rounds)}")
+        content = scratch.write(same.join(hot.hint("merge"), "key", "left").select("key", "name", twice, "many", "content", F.coalesce("hot", F.lit(False)).alias("hot"), "place", "low", "high"), f"content{len(rounds)}")
+        rounds.append(scratch.write(held.select("parent_key", "parent_name", "shift", "key", "name").distinct(), f"cuts{len(rounds)}"))
+        scratch.drop(*(f"{x}{len(rounds) - 1}" for x in ("parts", "again", "same")))
+        settled = settled.unionByName(content.where("not hot").select("key", "name", "copy", "many", "content"))
+        content = content.where("hot")
+    return settled, rounds
 
 
 def repeated(docs: DataFrame, windows: Windows, resolve: Callable[[Windows], Callable], scratch: Scratch) -> DataFrame:
@@ -252,7 +261,7 @@ def repeated(docs: DataFrame, windows: Windows, resolve: Callable[[Windows], Cal
     heads = scratch.write(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), "heads")
     shared = scratch.write(found.join(heads.hint("merge"), "key"), "shared")
     scratch.drop("anchors", "heads")
-    content = scratch.write(contexts(docs, shared, windows), "content")
+    content = scratch.write(contexts(docs, shared, windows, scratch), "content")
     content, rounds = dealt_further(content, windows, scratch)
     size = content.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     edges = scratch.write(content.repartition(max(1, -(-size // SHARD)), "key").mapInArrow(resolve(windows), RESOLVED), "edges")
