@@ -31,16 +31,11 @@ def british_words() -> frozenset[str]:
     return frozenset(found | {stem + "l" * (not stem.endswith("ll")) + tail for stem in DOUBLED.split() for tail in ("ed", "ing", "er", "ers")})
 
 
-def pairs(listed: str) -> list[tuple[str, str]]:
-    flat = listed.split()
-    return list(zip(flat[::2], flat[1::2], strict=True))
-
-
 def british(word: str) -> str | None:
     """The British spelling of an American word, in the word's case."""
     low = word.lower()
     for table, oxford in ((R.OXFORD_ENDINGS, True), (R.OTHER_ENDINGS, False)):
-        for ending, wanted in pairs(table):
+        for ending, wanted in table:
             if low.endswith(ending):
                 stem = low.removesuffix(ending)
                 new = stem + wanted

@@ -383,12 +383,24 @@ JOINTS: tuple[tuple[str, str], ...] = (
     ("contrast", "but|however|although|though|whereas|whilst|while|instead|unlike|nevertheless|nonetheless|yet"),
     ("condition", "only when|provided that|as long as|unless|until|if|once"),
 )
-SO_SUBJECT = r"(?i)^\s+(?:i|we|you|they|he|she|it|its|the|a|an|this|that|these|those|there|our|your|their|his|her|my|every|each|no|nothing|everyone|people|readers?)\b"
-SO_NOT = r"(?i)^\s+(?:far|many|much|few|little|long|on|forth|to speak|what|very|too)\b"
-SINCE_TIME = (
-    r"(?i)^\s+(?:\d|then\b|last\b|yesterday\b|january|february|march|april|may\b|june|july|august|september|october|november|december|monday|tuesday|wednesday|thursday|friday|saturday|sunday)"
+# Of connectives that may be something else: what has to stand before and after, in one of these ways. Before is searched in
+# the last characters before the word, without the blanks next to it; after is matched on what follows. Case is ignored.
+_OPENS = r"(?:\A|[,.;:!?])\z"
+_SO_IS_NOT = r"(?!-)(?!\s+(?:far|many|much|few|little|long|on|forth|to speak|what|very|too)\b)"
+_SO_SUBJECT = (
+    r"\s+(?:i|we|you|they|he|she|it|its|the|a|an|this|that|these|those|there|our|your|their|his|her|my|every|each|no|nothing|everyone|people|readers?)\b"
 )
-BUT_NOT = ("all", "nothing", "anything", "none", "everything", "everyone")
+_TIME = r"\s+(?:\d|then\b|last\b|yesterday\b|january|february|march|april|may\b|june|july|august|september|october|november|december|monday|tuesday|wednesday|thursday|friday|saturday|sunday)"
+CONNECTIVE_GUARDS: dict[str, tuple[tuple[str, str], ...]] = {
+    "so": ((_OPENS, _SO_IS_NOT), (r"(?<! or)\z", _SO_IS_NOT + _SO_SUBJECT)),
+    "since": ((r"\z", rf"(?!{_TIME})"),),
+    "once": ((_OPENS, ""), (r" and\z", "")),
+    "but": ((r"(?<!(?:\A| )(?:all|nothing|anything|none|everything|everyone))\z", ""),),
+    "while": ((r"(?<!(?:\A| )a)(?<!worth)\z", ""),),
+    "yet": ((r"(?<!not)(?<!as)\z", r"(?!\s*another)"),),
+}
+#: Characters that are looked at before and after a connective.
+GUARD_BEFORE, GUARD_AFTER = 24, 48
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve".split()
 PROMISE = (
@@ -416,11 +428,27 @@ DATE = (
     r"|(?:MONTH)\b\.?\s+\d{4}|q[1-4]\s+\d{4}|h[12]\s+\d{4})\b"
 ).replace("MONTH", MONTH)
 NUMBER = r"\d[\d,]*(?:\.\d+)*"
+CURRENCY = "£$€"
 UNIT = r"[ \t]?(?:%|kWh|kW|MWh|MW|GW|kVA|V|A|km|m|ms|s|h|GB|MB|TB|x|p|k|bn|million|billion)\b|%"
 CODE_SPAN = r"`([^`\n]+)`"
 LIST_MARKER = r"(?m)^[ \t]*\d+[.)][ \t]"
 ORDINAL = r"(?i)(\d)(?:st|nd|rd|th)\b"
 
+# An acronym: two capitals, or a capital first and a digit; never two small letters in a row. Where one may stand.
+ACRONYM = r"(?!.*[a-z]{2})(?:(?=(?:.*[A-Z]){2})[a-z]?|(?=[A-Z].*\d))[A-Z][A-Za-z0-9&]*[A-Z0-9]"
+ACRONYM_TOKEN = r"(?<![\w/.\-&])[A-Za-z0-9&]++(?![\w\-])"
+NOT_PROSE = (r"\]\([^)\n]*\)", r"<[^>\n]+>")
+# How a sentence explains an acronym: what ends before it, what follows it (and its plural s), or what stands anywhere.
+EXPLAINED: tuple[tuple[str, str, str, str], ...] = (
+    ("bracketed", r"\z", r"\s*\(", ""),
+    ("in_brackets", "", "", r"\(\s*ACRONYMs?\s*\)"),
+    ("gloss", r"(?<!,\s+(?:(?:a|an|the|her|his|its|their|our|your)\s+)?)\z", r",\s+(?:the|a|an)\s", ""),
+    ("is_a", r"(?i)\A\s*(?:(?:the|a|an)\s+)?\z", r"\s+(?:is|are)\s+(?:the|a|an)\s", ""),
+    ("definition", "", "", DEFINITION),
+)
+GLOSSARY_LINE = r"(?m)^\*\*([^*\n]+)\*\*:[ \t]*([^\n]*)"
+BRACKETED = r"\((?:[^()]++|(?R))*+(?:\)|\z)"
+EXPANSION_END = r"(?<=[a-z0-9)])\.(?=\s|\z)"
 UNIVERSAL = frozenset("UK US USA EU GB ID PIN QR SIM USB URL GPS LED LCD TV PC PDF FAQ AI VAT ATM AM PM CEO AC DC MW GW MWh GWh TWh".split())
 GAP_HINT = "Spell it out, or say what it is, the first time you use it."
 
@@ -441,9 +469,13 @@ CUSTOMER_FIGURES: tuple[tuple[str, str], ...] = (
 )
 LIMIT_WORDS = r"(?i)\b(?:up to|at most|maximum|max|minimum|min|limit(?:ed|s)? to|cap(?:ped|s)? at|no more than|per call|per operation|per request|per batch|page size|hard limit|rate limit)\b"
 
-#: American endings and their British forms; the first eight families apply to any word with three letters before them.
-OXFORD_ENDINGS = "izations isations ization isation izing ising izers isers izer iser izes ises ized ised ize ise yzing ysing yzes yses yzed ysed yze yse"
-OTHER_ENDINGS = "orites ourites orite ourite orful ourful oring ouring ored oured ors ours or our ering ring ered red ers res er re elers ellers eler eller eling elling eled elled ogs ogues og ogue"
+#: American endings and their British forms; the Oxford ones apply to any word with three letters before them.
+OXFORD_ENDINGS = (
+    ("izations", "isations"), ("ization", "isation"), ("izing", "ising"), ("izers", "isers"), ("izer", "iser"), ("izes", "ises"), ("ized", "ised"), ("ize", "ise"), ("yzing", "ysing"), ("yzes", "yses"), ("yzed", "ysed"), ("yze", "yse"),
+)
+OTHER_ENDINGS = (
+    ("orites", "ourites"), ("orite", "ourite"), ("orful", "ourful"), ("oring", "ouring"), ("ored", "oured"), ("ors", "ours"), ("or", "our"), ("ering", "ring"), ("ered", "red"), ("ers", "res"), ("er", "re"), ("elers", "ellers"), ("eler", "eller"), ("eling", "elling"), ("eled", "elled"), ("ogs", "ogues"), ("og", "ogue"),
+)
 OXFORD_MIN_STEM = 3
 
 # ---- End of the fixed values. ----
