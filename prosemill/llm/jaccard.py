@@ -5,7 +5,9 @@
    recall. Classes are shuffled on band hashes; each is tied to the least class of its bucket (a star, not all pairs).
 3. What hangs together by such ties is a *neighbourhood*, which holds every pair that shares a band. A class's n-gram set
    moves once to its neighbourhood, and there all pairs are verified on their full sets by matrix products; no pair becomes
-   a row. A neighbourhood too large for one task is cut into blocks and every pair of blocks is a task of its own.
+   a row. A neighbourhood too large for one task is cut into blocks. Two blocks meet in a task of their own, to which goes
+   what shares a band with a class of the other block; so a long chain of neighbours moves each set a few times, not
+   once for each of its blocks.
 4. Verified links give each class its number of links, and their components are the groups.
 """
 
@@ -26,7 +28,7 @@ from prosemill.llm.textarrays import U64, Fingerprints, chunks, lowered, mixed,
 from prosemill.llm.windows import keyed
 
 #: Classes and n-grams that one block of a neighbourhood may have.
-BLOCK_CLASSES, BLOCK_GRAMS = 2048, 1 << 21
+BLOCK_CLASSES, BLOCK_GRAMS = 512, 1 << 20
 #: Bands of this many rows at least: fewer chance meetings of texts that share a passage only.
 ROWS = 8
 RECALL = 0.99
@@ -225,11 +227,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     wanted = asked.select("node", "copies", F.col("doc_key").alias("_d"), F.col("text_key").alias("_t")).hint("merge")
     texts = rows.select("doc_key", "text_key", "text").join(wanted, F.col("doc_key").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t"))).select("node", "copies", "text")
     sets = scratch.write(texts.mapInArrow(set_rows(size), "node long, copies long, set array<long>"), "sets")
-    dealt = sets.join(asked.select("node", "component").join(sizes, "component"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    paired = dealt.select(
-        "node", "copies", "set", "component", "own",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("own", b).alias("low"), F.greatest("own", b).alias("high")))).alias("pair"),
-    ).select("node", "copies", "set", "component", "own", "pair.*")
+    homes = asked.select("node", "component").join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    homes = scratch.write(homes, "homes")
+    # Which blocks a class meets: its own, and those of the classes it shares a band with.
+    split = tied.join(homes.where("blocks > 1").hint("merge"), "node").select("node", "band", "own")
+    met = split.groupBy("band").agg(F.collect_set("own").alias("others")).where(F.size("others") > 1)
+    met = split.join(scratch.write(met, "met").hint("merge"), "band").select("node", F.explode("others").alias("other")).unionByName(homes.select("node", F.col("own").alias("other"))).distinct()
+    block = F.struct(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).alias("pair")
+    pairs = scratch.write(homes.join(met.hint("merge"), "node").select("node", "component", "own", block), "pairs")
+    paired = sets.join(pairs.hint("merge"), "node").select("node", "copies", "set", "component", "own", "pair.*")
     found = scratch.write(paired.groupBy("component", "low", "high").applyInArrow(verify(threshold), LINKS), "found")
     scratch.drop("sets")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -60,6 +60,40 @@ def test_links_and_groups(spark, monkeypatch, block):
     assert sorted(kept) == sorted({c for _, c, _ in brute(rows)})
 
 
+def test_recall_at_the_shipped_setting(spark):
+    """Pairs at a similarity of just 0.8, which no other text is like: nine in ten at least must be linked."""
+    rng, rows = random.Random(4), []
+    for i in range(600):
+        words = [f"v{rng.getrandbits(30)}" for _ in range(94)]  # 90 grams; one word changed at the end leaves 80 of 100
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:84], *(f"u{rng.getrandbits(30)}" for _ in range(10))]))]
+    similar = [len(grams(a[1]) & grams(b[1])) / len(grams(a[1]) | grams(b[1])) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert all(0.8 <= s < 0.81 for s in similar), similar[:3]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count()
+    assert found >= 0.9 * len(rows)
+
+
+def test_a_chain_of_neighbours_moves_few_sets(spark, monkeypatch):
+    """Each text is like the next only. With blocks of eight a set goes to its own block and those of its neighbours, not to all."""
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 8)
+    rng, words, rows = random.Random(6), [f"v{i}" for i in range(60)], []
+    for i in range(300):
+        words = [*words[3:], *(f"u{rng.getrandbits(40)}" for _ in range(3))]
+        rows.append((i, " ".join(words)))
+    moved = []
+    write = jaccard.Scratch.write
+
+    def counted(self, df, name):
+        table = write(self, df, name)
+        if name == "pairs":
+            moved.append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard.Scratch, "write", counted)
+    done = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.999999)
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in done.collect()) == sorted(brute(rows))
+    assert moved[0] < 300 * 16  # 38 blocks: moving to all would be 300 * 38
+
+
 def test_edges_of_the_join(edges, empty):
     rows = [(r["doc_id"], r["text"]) for r in edges.select("doc_id", "text").collect()]
     done = near_duplicates(edges, recall=0.999999)
