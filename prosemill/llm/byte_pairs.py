@@ -5,14 +5,14 @@ matrices, a piece to a row, with rows of like length together and the rest of a
 its leftmost pair of least rank: pairs are looked up in a hash table that holds every pair whose join is a token, and the
 row closes up by one place. Rows without a pair left leave the matrix. A piece that is a token itself is that token.
 
-A round costs the width of its rows, so a row costs the square of its length. Pieces over LONG bytes, such as a page of one
-letter, are merged with a heap instead, in the same order, at a cost of length times its logarithm.
+A round costs the width of its rows, so a row costs the square of its length. A piece over LONG bytes, such as a page of one
+letter, is a matrix of one row, and the rounds that would merge its least rank again one place after another are done
+at once, where no merge among them makes a pair of lower rank: it then costs its length for each rank that it merges.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from itertools import chain
 
@@ -175,28 +175,28 @@ class Codec:
                 break
 
     def merge_long(self, piece: bytes) -> np.ndarray:
-        ids: list[int] = self.bytes_id[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        first = self.pairs.find(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        token, ranks = self.token, self.ranks
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or ids[i] != left or ids[j] != right:
-                continue
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (joined := ranks.get(token(ids[a]) + token(ids[b]))) is not None:
-                    heapq.heappush(heap, (joined, a, ids[a], ids[b]))
-        return np.array([x for x, ok in zip(ids, alive, strict=True) if ok], np.int32)
-
-    def token(self, i: int) -> bytes:
-        return self.token_bytes[self.token_at[i] : self.token_at[i] + self.token_sizes[i]].tobytes()
+        """The rounds of one row, those of one rank together."""
+        ids = self.bytes_id[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == least)
+            # Of places in a row every second one goes, from the left.
+            run = np.cumsum(np.r_[True, np.diff(at) > 1])
+            at = at[(at - at[np.searchsorted(run, run)]) % 2 == 0]
+            joined = np.full(len(at), least)
+            left, right = at > 0, at + 2 < len(ids)
+            lower = (self.pairs.find(ids[at[left] - 1], joined[left]) < least).any() or (self.pairs.find(joined[right], ids[at[right] + 2]) < least).any()
+            if lower or self.pairs.find(joined[:1], joined[:1])[0] < least:
+                at = at[:1]
+            ids[at] = least
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+            ranks = ranks[keep[1:]]
+            at = at - np.arange(len(at))
+            for near in (at[at > 0] - 1, at[at < len(ranks)]):
+                ranks[near] = self.pairs.find(ids[near], ids[near + 1])
+        return ids
 
 
 def ragged(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
