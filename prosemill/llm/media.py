@@ -1,9 +1,10 @@
 """Media columns: lossless 8-bit WAV bytes, read back by the wave module, with spectral fingerprints.
 
 The fingerprints are those of acoustic matching: a short-time Fourier transform, in each frame the strongest bin of each
-band, of these the ones that top their neighbours in time, and pairs of successive peaks. A pair is one integer,
-frame * 2**32 + (first bin * 2**20 + second bin * 2**10 + frames between), so an array of them is sorted by time. Two
-recordings match where many pairs agree below the 2**32 at one distance above it.
+band, of these the ones that top their neighbours in time, and pairs of each peak with the FAN that follow it, however far
+off. A pair is one integer, frame * 2**40 + (first bin * 2**31 + second bin * 2**22 + frames between), so an array of them is
+sorted by time. Two recordings match where many pairs agree below the 2**40 at one distance above it. The fields hold
+texts of up to 2**22 frames, 1.2 GB.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 BLOCK, PADDING, RATE = 576, 255, 8000
 FRAME, HOP, FAN = 576, 288, 2
 BANDS = (1, 10, 30, 90, 289)
-MOST_FRAMES, MOST_BETWEEN = 4096, 1023
+MOST_FRAMES = 4096
 _window = np.hanning(FRAME)
 
 
@@ -68,9 +69,7 @@ def fingerprints(samples: bytes) -> np.ndarray:
     peak = bins[frame, band]
     pairs = []
     for step in range(1, FAN + 1):
-        between = frame[step:] - frame[:-step]
-        near = between <= MOST_BETWEEN
-        pairs.append(((frame[:-step] << 32) | (peak[:-step] << 20) | (peak[step:] << 10) | between)[near])
+        pairs.append((frame[:-step] << 40) | (peak[:-step] << 31) | (peak[step:] << 22) | (frame[step:] - frame[:-step]))
     return np.sort(np.concatenate(pairs))
 
 
@@ -92,7 +91,11 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A row for each row: id_col, n_bytes, media, payload (the samples read from it) and fingerprints (time-coded longs)."""
+    """A row for each row: id_col, n_bytes, media, payload (the samples read from it) and fingerprints (time-coded longs).
+
+    stored: what store_media returns; media must not be null. A null id is carried, equal rows stay as many, equal media have
+    equal fingerprints, no rows give no rows.
+    """
     kind = stored.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -204,6 +204,21 @@ def test_fingerprints_follow_a_shift_in_time():
     plain = media.fingerprints(samples)
     assert (np.diff(plain) >= 0).all() and len(plain) > 100
     later = media.fingerprints(b"\x80" * 5760 + samples)
-    codes = lambda x: {(int(v) >> 32, int(v) & 0xFFFFFFFF) for v in x}
+    codes = lambda x: {(int(v) >> 40, int(v) & (2**40 - 1)) for v in x}
     moved = {(t + 20, c) for t, c in codes(plain)}
     assert len(moved & codes(later)) > 0.9 * len(moved)
+
+
+def test_peaks_far_apart_are_paired():
+    """Noise, a long silence, noise: the pair that spans it is there, with its distance."""
+    noise = np.random.default_rng(2).integers(0, 256, 576 * 8).astype(np.uint8).tobytes()
+    found = media.fingerprints(noise + b"\x80" * (288 * 3000) + noise)
+    between = found & (2**22 - 1)
+    assert between.max() > 2900 and (np.diff(found) >= 0).all()
+    first = int(found[between.argmax()]) >> 40
+    assert first < 20 and (int(found[between.argmax()]) >> 31) & 511 < 289 and (int(found[between.argmax()]) >> 22) & 511 < 289
+
+
+@pytest.mark.parametrize("piece", [b"a" * 1_000_000, b"abab" * 3000 + b"b", bytes(random.Random(1).choices(b"etaoinshrdlu", k=30_000)), b"the" * 500 + b"thing" * 500])
+def test_long_pieces_are_the_librarys(codec, library, piece):
+    assert codec.merge_long(piece).tolist() == library._encode_single_piece(piece)
