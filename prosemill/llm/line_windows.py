@@ -1,8 +1,10 @@
 """Line de-duplication by overlapping three-line windows, with DataFrame functions only.
 
 Every three consecutive lines of a document are a window. Windows with equal lines are found by a shuffle of their hashes
-(128 bits: two 64-bit hashes of the lines), counted with combining before it. The first occurrence, by id and
-place, stays; the lines of every later one are covered, coverings that overlap merge, and covered lines go.
+(128 bits: two 64-bit hashes of the lines), counted with combining before it. The lines of every occurrence but the
+first, by id and place, are covered, coverings that overlap merge, and covered lines go. The first occurrence stays but for
+lines that a later occurrence of some window covers as well: of four equal lines, whose window occurs again one line down,
+the first line stays.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def window_hashes(hashes: Column, size: int) -> Column:
 def remove_repeated_lines(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes the lines of every window of ``size`` consecutive lines that occurred before, in any document.
 
-    Before means at a lesser (id, place); the first occurrence stays. Returns a row for each row: id_col, the columns in
+    Before means at a lesser (id, place). A line that a first occurrence and a later one of some window share goes. Returns a row for each row: id_col, the columns in
     carry, kept_text (the lines left, joined by newlines), n_lines and n_removed. Lines are what stands between newlines;
     a null text has none and stays null, an empty one has one; documents with fewer lines than a window stay as they are.
     Rows that agree in id and text are one place, so they get the same result; a null id is less than any other.

@@ -121,4 +121,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_media_columns,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+LINES = """WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+    w AS (SELECT doc_id, place, lines[place + 1 : place + 3] AS own FROM (SELECT doc_id, lines, unnest(range(greatest(len(lines) - 2, 0))) AS place FROM d)),
+    r AS (SELECT own, min(struct_pack(d := doc_id, p := place)) AS first FROM w GROUP BY own HAVING count(*) > 1),
+    g AS (SELECT DISTINCT doc_id, unnest(range(place, place + 3)) AS line FROM w JOIN r USING (own) WHERE struct_pack(d := doc_id, p := place) <> first),
+    l AS (SELECT doc_id, unnest(lines) AS line_text, unnest(range(len(lines))) AS line FROM d),
+    k AS (SELECT doc_id, string_agg(line_text, chr(10) ORDER BY line) AS kept FROM l ANTI JOIN g USING (doc_id, line) GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS gone FROM g GROUP BY doc_id)
+    SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+EXACT = """WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY low) AS keep_id, count(*) OVER (PARTITION BY low) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY low) AS kept,
+    sha256(low) AS text_sha256 FROM t"""
+
+#: Of the operators that SQL expresses on whole tables.
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES, "op4_exact_dedup": EXACT}

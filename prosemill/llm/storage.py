@@ -15,9 +15,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; only where none is set (tests, a laptop), a local one is made and set."""
+    """The session's shared folder; where none is set and the master is local (tests, a laptop), a local one is made and set."""
     found = spark.conf.get(SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='prosemill-')}"
         spark.conf.set(SETTING, found)
     return found.rstrip("/")

@@ -204,3 +204,20 @@ def test_lines(spark, edges, empty):
 def test_line_query_runs_no_python(spark, small):
     plan = Q.op2_line_dedup(spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_lines_that_overlap_a_later_occurrence_go(spark):
+    """The window of four equal lines occurs again one line down: of the first occurrence its first line stays."""
+    rows = [(1, "a\na\na\na"), (2, "x\ny\nz"), (3, "x\ny\nz\nx\ny\nz")]
+    done = remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(done, "doc_id", "kept_text", "n_removed") == [(1, "a", 3), (2, "x\ny\nz", 0), (3, "", 6)] == line_brute(rows)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from prosemill.llm.storage import shared_folder
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
