@@ -25,9 +25,9 @@ def structured(docs: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row: id_col, scored, and the metrics; all but words and sentences are null under 30 words."""
-    held = structured(docs.select(id_col, F.col(text_col).alias("_text")), "_text")
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row: id_col, the columns in carry, scored, and the metrics; all but words and sentences are null under 30 words."""
+    held = structured(docs.select(id_col, *carry, F.col(text_col).alias("_text")), "_text")
     held = held.withColumn("_letters", C.letters(F.col("_plain"))).withColumn("_stems", C.stems(F.col("_letters")))
     held = held.withColumn("_paragraphs", F.filter(F.transform(F.split(C.plain(F.col("_blocks"), by_line=True), "\n", -1), lambda p: F.regexp_count(p, F.lit(R.WORD))), lambda n: n > 0))
     words = F.regexp_count("_plain", F.lit(R.WORD))
@@ -38,7 +38,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ly = F.regexp_count(F.array_join(F.regexp_extract_all("_plain", F.lit(R.WORD), F.lit(0)), " "), F.lit("(?<![^ ])[^ ]{3,}[lL][yY](?![^ ])"))
     passive = F.size(F.filter("_sentences", lambda s: s.rlike(java(R.PASSIVE))))
     counted = held.select(
-        id_col, words.alias("words"), F.size("_sentences").alias("sentences"), F.size("_paragraphs").alias("paragraphs"),
+        id_col, *carry, words.alias("words"), F.size("_sentences").alias("sentences"), F.size("_paragraphs").alias("paragraphs"),
         F.coalesce(F.array_max("_sizes"), F.lit(0)).alias("max_sentence_words"), F.coalesce(F.array_max("_paragraphs"), F.lit(0)).alias("max_paragraph_words"),
         F.size(F.filter("_sizes", lambda n: n > R.LONG_SENTENCE)).alias("_long"), passive.alias("_passive"),
         (words + vowels - voiced).alias("_syllables"), long_words.alias("_long_words"), ly.alias("_ly"), short.alias("_short"),
@@ -58,7 +58,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     }
     always = {"words", "sentences"}
     shown = [F.col(m) if m in always else F.when(scored, values.get(m, F.col(m))).alias(m) for m in METRICS]
-    return counted.select(id_col, scored.alias("scored"), *shown)
+    return counted.select(id_col, *carry, scored.alias("scored"), *shown)
 
 
 def judged(measured: DataFrame, budget: tuple[tuple[str, str, float], ...] = R.BUDGET) -> DataFrame:
@@ -86,10 +86,13 @@ def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def rollup(measured: DataFrame, docs: DataFrame, keys: list[str], id_col: str = "doc_id") -> DataFrame:
-    """Means of scored documents by keys, with sub-totals (grouping null) from the first key down."""
-    joined = docs.select(id_col, *keys).join(judged(measured), id_col)
-    return joined.rollup(*keys).agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.col("scored").cast("int")).alias("scored"), F.sum("words").alias("words"),
-        F.sum(F.col("failed").cast("int")).alias("failed"), F.round(F.avg("flesch_reading_ease"), 4).alias("mean_reading_ease"),
+def rollup(judged_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Figures by keys that ``measure`` carried, with sub-totals (keys null) from the first key down.
+
+    mean_reading_ease, of scored documents, is a sum of whole tenths, so the same in any order, and cut after four places.
+    """
+    tenths = F.sum(F.round(10 * F.col("flesch_reading_ease")).cast("long"))
+    return judged_rows.rollup(*keys).agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.col("scored").cast("int")).alias("scored_documents"), F.sum("words").alias("words"),
+        F.sum(F.col("failed").cast("int")).alias("failed_documents"), (F.floor(1000 * tenths.cast("double") / F.count("flesch_reading_ease")) / F.lit(10000.0)).alias("mean_reading_ease"),
     )

@@ -32,8 +32,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Over all cores: the table may be one file, and a regex scan is work for more than its one task."""
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    """Over all cores where the table has fewer splits than those: a regex scan is work for more than a small file's one task.
+
+    A large table has a split for each core and more, and is read as it lies.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def corpus(spark: SparkSession, sf_dir: str, snippets: tuple[str, ...] = ()) -> DataFrame:
@@ -80,8 +84,7 @@ def by(keys: str):
     names = ("documents", "scored_documents", "words", "failed_documents")
 
     def run(spark, sf_dir):
-        docs = corpus(spark, sf_dir)
-        judged = measure.judged(measure.measure(docs)).join(docs.select("doc_id", keys), "doc_id")
+        judged = measure.judged(measure.measure(corpus(spark, sf_dir), carry=(keys,)))
         return whole(
             judged.groupBy(keys).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("scored").cast("int")).alias("scored_documents"), F.sum("words").alias("words"), F.sum(F.col("failed").cast("int")).alias("failed_documents")),
             *names,
@@ -94,6 +97,20 @@ QUERIES["quality_by_lang"], ORACLE_SQL["quality_by_lang"] = by("lang"), Q.groupe
 QUERIES["quality_by_source"], ORACLE_SQL["quality_by_source"] = by("source"), Q.grouped("source")
 
 
+@query(Q.rollup("source", "lang"))
+def quality_rollup(spark, sf_dir):
+    found = measure.rollup(measure.judged(measure.measure(corpus(spark, sf_dir), carry=("source", "lang"))), ["source", "lang"])
+    return whole(found, "documents", "scored_documents", "words", "failed_documents")
+
+
+@query(Q.metrics("doc_id, words, flesch_reading_ease"))
+def sql_functions(spark, sf_dir):
+    from prosemill.sources import sql
+
+    sql.register(spark)
+    return whole(corpus(spark, sf_dir).select("doc_id", F.expr("prose_words(text)").alias("words"), F.expr("prose_reading_ease(text)").alias("flesch_reading_ease")), "words")
+
+
 # ---- Findings ----
 
 
@@ -150,6 +167,16 @@ def grammar_findings(spark, sf_dir):
     return D.find(corpus(spark, sf_dir, ("She ate a apple. Their is the the color we organize.", "The colour is an hour old.")), "grammar")
 
 
+@query(Q.span_words())
+def span_words(spark, sf_dir):
+    return whole(D.spans(corpus(spark, sf_dir)).select("doc_id", "unit", "nth", "words"), "nth", "words")
+
+
+@query(Q.length_counts())
+def length_counts(spark, sf_dir):
+    return D.find(corpus(spark, sf_dir), "lengths").groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("hits"))
+
+
 @query()
 def document_spans(spark, sf_dir):
     return D.spans(corpus(spark, sf_dir))
@@ -175,7 +202,7 @@ def clutter_fix_text(spark, sf_dir):
     return done.select("doc_id", F.md5(F.col("rewritten").cast("binary")).alias("text_md5"), F.length("rewritten").cast("long").alias("chars"))
 
 
-@query()
+@query(Q.tallies())
 def rewrite_tallies(spark, sf_dir):
     fixes = D.rewrite(corpus(spark, sf_dir, S.TYPOGRAPHY), "typography").select(F.explode("fixes").alias("f"))
     return fixes.groupBy("f.rule").agg(F.sum("f.n").alias("fixes"), F.count(F.lit(1)).alias("documents"))
@@ -200,6 +227,13 @@ def facts_survival(spark, sf_dir):
     return D.lost_facts(D.paired(source.withColumn("text", F.regexp_replace("text", "(?:2025|18,000|4\\.5|October)", "")), source))
 
 
+@query(Q.lost_numbers())
+def lost_numbers(spark, sf_dir):
+    source = corpus(spark, sf_dir, S.FACTS)
+    lost = D.lost_facts(D.paired(source.withColumn("text", F.regexp_replace("text", Q.LOST, "")), source))
+    return lost.where("kind = 'number'").select("doc_id", "key")
+
+
 @query(Q.insight())
 def insight_structure(spark, sf_dir):
     found = D.insights(corpus(spark, sf_dir, S.INSIGHTS)).where("check <> 'no_customer_metrics'")
@@ -228,7 +262,7 @@ def gap_first_uses(spark, sf_dir):
 
 @query(Q.spacing())
 def gap_spacing(spark, sf_dir):
-    found = books.spaced_gaps(entries(spark, sf_dir)).where("acronym in ('CPO', 'DNO', 'CSMS', 'EVSE', 'OCPP')")
+    found = books.spaced_gaps(entries(spark, sf_dir))
     return whole(found.select("book_id", "entry", "acronym", "last_entry"), "entry", "last_entry")
 
 
@@ -237,40 +271,59 @@ def gap_findings(spark, sf_dir):
     return books.gap_findings(corpus(spark, sf_dir, S.GAPS), "**CPO**: Charge Point Operator. Owns sites.\n**DNO**: Distribution Network Operator.")
 
 
-@query()
+@query(Q.acronyms())
+def gap_acronyms(spark, sf_dir):
+    return D.first_uses(corpus(spark, sf_dir, S.GAPS)).select("doc_id", "acronym", "plural")
+
+
+@query(Q.missing())
 def gap_missing(spark, sf_dir):
     heads = spark.createDataFrame([("CPO",), ("DNO list",)], "headword string")
-    return books.missing_acronyms(corpus(spark, sf_dir, S.GAPS), heads)
+    return books.missing_acronyms(corpus(spark, sf_dir, S.GAPS), heads).select("doc_id", "acronym")
+
+
+@query(Q.glossary())
+def glossary_heads(spark, sf_dir):
+    return whole(books.glossary_table(corpus(spark, sf_dir, S.GLOSSARY)), "nth")
 
 
 # ---- Explanation and gates ----
 
 
-EXPLAINING = (
-    "The boiler heats the water, so the sensor learns late. It learns late because the pipe is long, which means the room is warm first. If it is cold, wait.",
-    "The gate has three parts: a key, a lock and a hinge. The key turns, so the lock holds, but the hinge swings.",
-    "It takes two steps.\n\n- open the door\n- shut the door",
-    "Due to the fact that it rains, it should be noted that we wait. It is very, really wet.",
-)
+@query(Q.promises())
+def promise_mentions(spark, sf_dir):
+    found = D.promises(corpus(spark, sf_dir, S.EXPLAINING)).groupBy("doc_id", "noun", "count").agg(F.count(F.lit(1)).alias("mentions"))
+    return whole(found, "count")
+
+
+@query(Q.signals())
+def paragraph_signals(spark, sf_dir):
+    names = ("nth", "words", "definitions", "anticipations")
+    return whole(D.paragraphs(corpus(spark, sf_dir, S.EXPLAINING)).select("doc_id", *names), *names)
+
+
+@query(Q.anticipations())
+def anticipation_counts(spark, sf_dir):
+    return whole(books.anticipations(corpus(spark, sf_dir, S.EXPLAINING)), "anticipations")
 
 
 @query()
 def explanation_joints(spark, sf_dir):
-    return D.joints(corpus(spark, sf_dir, EXPLAINING))
+    return D.joints(corpus(spark, sf_dir, S.EXPLAINING))
 
 
 @query()
 def promised_lists(spark, sf_dir):
-    return D.promises(corpus(spark, sf_dir, EXPLAINING))
+    return D.promises(corpus(spark, sf_dir, S.EXPLAINING))
 
 
 @query()
 def paragraph_scores(spark, sf_dir):
-    return D.paragraphs(corpus(spark, sf_dir, EXPLAINING))
+    return D.paragraphs(corpus(spark, sf_dir, S.EXPLAINING))
 
 
 def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = corpus(spark, sf_dir, EXPLAINING)
+    source = corpus(spark, sf_dir, S.EXPLAINING)
     shorter = F.regexp_replace(F.regexp_replace("text", "(?s)^(.{0,4000}?[.])\\s.*\\n\\n", "$1\n\n"), "\\bso\\b", "and")
     return D.paired(source.withColumn("text", shorter), source)
 
@@ -288,7 +341,7 @@ def explanation_gates(spark, sf_dir):
 
 @query()
 def joined_verdicts(spark, sf_dir):
-    return D.judged_measure(corpus(spark, sf_dir, EXPLAINING))
+    return D.judged_measure(corpus(spark, sf_dir, S.EXPLAINING))
 
 
 @query()

@@ -40,14 +40,15 @@ def plain(text: str, by_line: bool = False) -> str:
     return text
 
 
-def structure() -> str:
+def structure(snippets: tuple[str, ...] = ()) -> str:
     """CTEs up to s: doc_id, lang, source, blocks, plain, sentences."""
+    documents = f"({S.injected_sql(snippets)}) AS i" if snippets else "documents"
     block = R.BLOCK_START.replace(r"\s", SPACE)
     code = f"array_to_string(list_filter(flatten(list_transform(string_split_regex(raw, {q(R.FENCE)}), lambda p: string_split_regex(p, {q(R.INLINE)}))), lambda x: x <> ''), ' ')"
     marked = sub(sub("prose", f"(?m)^{SPACE}+|{SPACE}+$", ""), rf"\n({block})", f"\n{MARK}\\1")
     sentence = sub(sub("plain", STOPPED, f"\\1\\2{GUARD}"), R.SENTENCE_END, "\\1\n")
     return f"""
-    WITH d AS (SELECT doc_id, lang, source, {sub("coalesce(text, '')", "\\r\\n?", chr(10))} AS raw FROM documents),
+    WITH d AS (SELECT doc_id, lang, source, {sub("coalesce(text, '')", "\\r\\n?", chr(10))} AS raw FROM {documents}),
     c AS (SELECT doc_id, lang, source, {code} AS prose FROM d),
     b AS (SELECT doc_id, lang, source, replace({twice(marked, f"([^\\n])\\n([^\\n{MARK}])", "\\1 \\2")}, '{MARK}', '') AS blocks FROM c),
     p AS (SELECT *, {plain("blocks")} AS plain FROM b),
@@ -145,23 +146,41 @@ def tell_positions() -> str:
     (length(string_split(before, {NL})[-1]) + 1)::BIGINT AS col FROM b"""
 
 
+def typography_steps() -> list[tuple[str, list[tuple[str, str]]]]:
+    """Of each rule, in order: the passes that RE2 needs for it, as (pattern, replacement)."""
+    steps = []
+    for name, pattern, new in R.TYPOGRAPHY:
+        passes = {
+            "endash_range": [(r"(\d)(?:\s+–\s*|–\s+)(\d)", r"\1–\2")] * 2,
+            "run_spaces": [(r"(\S)[ \t]{2,}(\S)", r"\1 \2")] * 2,
+            "in_order_to": [(r"\bI(?i:n order to)\b", "To"), (pattern, new)],
+            "endash_clause": [(pattern.replace(r"\s", r"[\s\x{a0}\x{2009}]"), new)],
+        }
+        steps.append((name, passes.get(name, [(pattern, new)])))
+    return steps
+
+
 def typography() -> str:
     text = "text"
-    for name, pattern, new in R.TYPOGRAPHY:
-        if name == "endash_range":
-            text = twice(text, r"(\d)(?:\s+–\s*|–\s+)(\d)", r"\1–\2")
-        elif name == "run_spaces":
-            text = twice(text, r"(\S)[ \t]{2,}(\S)", r"\1 \2")
-        elif name == "in_order_to":
-            text = sub(sub(text, r"\bI(?i:n order to)\b", "To"), pattern, new)
-        elif name == "endash_clause":
-            space = r"[\s\x{a0}\x{2009}]"
-            text = sub(text, pattern.replace(r"\s", space), new)
-        else:
+    for _, passes in typography_steps():
+        for pattern, new in passes:
             text = sub(text, pattern, new)
     return f"WITH i AS ({S.injected_sql(S.TYPOGRAPHY)}), t AS (SELECT doc_id, {sub(text, '[ \\t]+$', '')} AS text FROM i) SELECT doc_id, md5(text) AS text_md5, length(text)::BIGINT AS chars FROM t"
 
 
+def tallies() -> str:
+    """A table for each pass, with the hits of the passes before."""
+    tables, counts, last = [f"WITH s0 AS ({S.injected_sql(S.TYPOGRAPHY)})"], [], 0
+    for name, passes in typography_steps():
+        hits = []
+        for pattern, new in passes:
+            last += 1
+            tables.append(f"s{last} AS MATERIALIZED (SELECT doc_id, {sub('text', pattern, new)} AS text, {n('text', pattern)} AS hits FROM s{last - 1})")
+            hits.append(f"SELECT doc_id, hits FROM s{last}")
+        counts.append(f"SELECT '{name}' AS rule, doc_id, sum(hits) AS hits FROM ({' UNION ALL '.join(hits)}) GROUP BY doc_id")
+    return f"{', '.join(tables)} SELECT rule, sum(hits)::BIGINT AS fixes, count(*) AS documents FROM ({' UNION ALL '.join(counts)}) WHERE hits > 0 GROUP BY rule"
+
+
 def clutter() -> str:
     text = "text"
     for r in R.CLUTTER:
@@ -201,15 +220,106 @@ def insight() -> str:
 
 
 def spacing() -> str:
-    """The snippets say which acronyms each entry uses and which of them it explains; the fold is a recursion over entries."""
-    # (snippet, acronym, explained)
-    uses = [(0, "CPO", False), (0, "OCPP", True), (1, "EVSE", True), (1, "CPO", False), (1, "DNO", False), (3, "CSMS", False)]
-    rows = ", ".join(f"({i}, '{a}', {str(k).lower()})" for i, a, k in uses)
-    return f"""WITH RECURSIVE u(snippet, acronym, known) AS (VALUES {rows}),
-    b AS (SELECT source AS book_id, doc_id % {len(S.GAPS)} AS snippet, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS entry FROM documents),
-    e AS (SELECT book_id, entry, acronym, known, row_number() OVER (PARTITION BY book_id, acronym ORDER BY entry) AS k FROM b JOIN u USING (snippet)),
-    f AS (SELECT book_id, acronym, k, entry, NOT known AS flagged, CAST(NULL AS BIGINT) AS before, entry AS last FROM e WHERE k = 1
+    """Which first uses explain their acronym the snippets say; the fold is a recursion over the entries that use it."""
+    explained = " OR ".join(f"(acronym = '{a}' AND a.doc_id % {len(S.GAPS)} = {i})" for i, a in ((0, "OCPP"), (1, "EVSE")))
+    return f"""WITH RECURSIVE {first_acronyms().removeprefix("WITH ")},
+    b AS (SELECT source AS book_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS entry FROM documents),
+    o AS (SELECT book_id, entry, acronym, {explained} AS known, row_number() OVER (PARTITION BY book_id, acronym ORDER BY entry) AS nth FROM a JOIN b ON a.doc_id = b.doc_id),
+    r AS (SELECT book_id, acronym, nth, entry, NOT known AS flagged, CAST(NULL AS BIGINT) AS before, entry AS last FROM o WHERE nth = 1
         UNION ALL
-        SELECT e.book_id, e.acronym, e.k, e.entry, NOT e.known AND e.entry - f.last >= {R.SPACING}, f.last, CASE WHEN e.known OR e.entry - f.last >= {R.SPACING} THEN e.entry ELSE f.last END
-        FROM f JOIN e ON e.book_id = f.book_id AND e.acronym = f.acronym AND e.k = f.k + 1)
-    SELECT book_id, entry::BIGINT AS entry, acronym, before::BIGINT AS last_entry FROM f WHERE flagged"""
+        SELECT o.book_id, o.acronym, o.nth, o.entry, NOT o.known AND o.entry - r.last >= {R.SPACING}, r.last, CASE WHEN o.known OR o.entry - r.last >= {R.SPACING} THEN o.entry ELSE r.last END
+        FROM r JOIN o ON o.book_id = r.book_id AND o.acronym = r.acronym AND o.nth = r.nth + 1)
+    SELECT book_id, entry::BIGINT AS entry, acronym, before::BIGINT AS last_entry FROM r WHERE flagged"""
+
+
+# ---- Counterparts of parts of larger operators ----
+
+
+def rollup(*keys: str) -> str:
+    return f"""{judged()} SELECT {', '.join(keys)}, count(*) AS documents, sum(scored::INT)::BIGINT AS scored_documents, sum(words)::BIGINT AS words,
+    sum((len(over) > 0)::INT)::BIGINT AS failed_documents, floor(1000 * sum(round(10 * flesch_reading_ease)::BIGINT)::DOUBLE / count(flesch_reading_ease)) / 10000 AS mean_reading_ease FROM j GROUP BY ROLLUP ({', '.join(keys)})"""
+
+
+def units(snippets: tuple[str, ...] = ()) -> str:
+    """CTEs up to u: doc_id, unit, nth, x, words."""
+    return f"""{structure(snippets)}, l AS (SELECT doc_id, sentences, list_filter(string_split({plain("blocks", by_line=True)}, {NL}), lambda x: regexp_matches(x, {q(R.WORD)})) AS ps FROM s),
+    e AS (SELECT doc_id, 'sentence' AS unit, unnest(sentences) AS x, generate_subscripts(sentences, 1) - 1 AS nth FROM l
+        UNION ALL SELECT doc_id, 'paragraph', unnest(ps), generate_subscripts(ps, 1) - 1 FROM l),
+    u AS (SELECT doc_id, unit, nth::BIGINT AS nth, x, {n("x", R.WORD)}::BIGINT AS words FROM e)"""
+
+
+def span_words() -> str:
+    return f"{units()} SELECT doc_id, unit, nth, words FROM u"
+
+
+def length_counts() -> str:
+    limit = next(limit for name, _, limit in R.BUDGET if name == "max_paragraph_words")
+    return f"""{units()} SELECT doc_id, 'long-' || unit AS rule, count(*) AS hits FROM u
+    WHERE words > CASE unit WHEN 'sentence' THEN {R.LONG_SENTENCE} ELSE {limit} END GROUP BY ALL"""
+
+
+def signals() -> str:
+    of = lambda pattern: n(ascii_words("trim(x, ' ' || chr(9) || chr(13))"), pattern) + "::BIGINT"
+    return f"{units(S.EXPLAINING)} SELECT doc_id, nth, words, {of(R.DEFINITION)} AS definitions, {of(R.ANTICIPATION)} AS anticipations FROM u WHERE unit = 'paragraph'"
+
+
+def anticipations() -> str:
+    return f"SELECT i.doc_id, coalesce(sum(anticipations), 0)::BIGINT AS anticipations FROM documents AS i LEFT JOIN ({signals()}) AS g ON g.doc_id = i.doc_id GROUP BY i.doc_id"
+
+
+def promises() -> str:
+    words = ", ".join(f"'{w}'" for w in R.NUMBER_WORDS)
+    return f"""WITH i AS ({S.injected_sql(S.EXPLAINING)}), t AS (SELECT doc_id, {ascii_words("text")} AS text FROM i),
+    e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, {q(R.PROMISE)}, 1))) AS number, lower(unnest(regexp_extract_all(text, {q(R.PROMISE)}, 2))) AS noun FROM t)
+    SELECT doc_id, noun, coalesce(list_position([{words}], number) - 1, TRY_CAST(number AS BIGINT))::BIGINT AS "count", count(*) AS mentions FROM e GROUP BY ALL"""
+
+
+def first_acronyms() -> str:
+    """CTEs up to a: doc_id, acronym, plural, of the first use: the least k."""
+    text = sub(sub(sub(sub("text", R.FENCE, " "), R.INLINE, " "), R.NOT_PROSE[0], " "), R.NOT_PROSE[1], " ")
+    text = sub(sub(text, r"(?m)^\s*#[^\n]*", " "), r"[*_]", " ")
+    capitals = "len(regexp_extract_all({w}, '[A-Z]'))"
+    shape = f"regexp_full_match({{w}}, '[a-z]?[A-Z][A-Za-z0-9&]*[A-Z0-9]') AND NOT regexp_matches({{w}}, '[a-z][a-z]') AND ({capitals} >= 2 OR ({capitals} = 1 AND regexp_matches({{w}}, '^[A-Z]') AND regexp_matches({{w}}, '[0-9]')))"
+    own, short = shape.format(w="w"), shape.format(w="left(w, -1)")
+    universal = ", ".join(f"'{u}'" for u in sorted(R.UNIVERSAL))
+    return f"""WITH i AS ({S.injected_sql(S.GAPS)}), t AS (SELECT doc_id, string_split_regex({text}, {q("[^\\pL\\pN/.&-]+")}) AS chunks FROM i),
+    e AS (SELECT doc_id, generate_subscripts(chunks, 1) AS k, unnest(chunks) AS chunk FROM t),
+    w AS (SELECT doc_id, k, regexp_extract(chunk, '^([A-Za-z0-9&]+)(?:$|[/.])', 1) AS w FROM e),
+    f AS (SELECT doc_id, k, w, {own} AS plain, ends_with(w, 's') AND {short} AS s FROM w WHERE w <> ''),
+    g AS (SELECT doc_id, k, CASE WHEN plain THEN w ELSE left(w, -1) END AS acronym, NOT plain AS plural FROM f WHERE plain OR s),
+    a AS (SELECT doc_id, acronym, arg_min(plural, k) AS plural FROM g WHERE acronym NOT IN ({universal}) GROUP BY doc_id, acronym)"""
+
+
+def acronyms() -> str:
+    return f"{first_acronyms()} SELECT doc_id, acronym, plural FROM a"
+
+
+def missing() -> str:
+    return f"{first_acronyms()} SELECT doc_id, acronym FROM a WHERE acronym NOT IN ('CPO', 'DNO', 'list')"
+
+
+def glossary() -> str:
+    """The stops of the snippets' expansions stand after small letters, and their brackets are not nested."""
+    end = q(r"^((?:[^(.]|\([^)]*\))*?[a-z0-9)])\.(?:\s|$)")
+    return f"""WITH i AS ({S.injected_sql(S.GLOSSARY)}),
+    e AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, {q(R.GLOSSARY_LINE)}, 1))) AS headword, unnest(regexp_extract_all(text, {q(R.GLOSSARY_LINE)}, 2)) AS said,
+        generate_subscripts(regexp_extract_all(text, {q(R.GLOSSARY_LINE)}, 1), 1) AS k FROM i),
+    f AS (SELECT doc_id, k, headword, trim(CASE WHEN regexp_matches(said, {end}) THEN regexp_extract(said, {end}, 1) ELSE said END) AS expansion FROM e)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS nth, headword, expansion FROM f WHERE headword <> '' AND expansion <> ''"""
+
+
+LOST = r"(?:2025|18,000|4\.5|October)"
+
+
+def lost_numbers() -> str:
+    """Numbers of the source that the rewrite has neither as such, nor as a word, nor among other digits."""
+    words = ", ".join(f"'{w}'" for w in R.NUMBER_WORDS)
+    bare = lambda text: sub(sub(text, R.DATE, " "), R.LIST_MARKER, " ")
+    pattern = q("([A-Za-z_]?)(" + R.NUMBER + ")")
+    found = lambda name: f"(SELECT doc_id, unnest(regexp_extract_all({bare(name)}, {pattern}, 2)) AS digits, unnest(regexp_extract_all({bare(name)}, {pattern}, 1)) AS lead FROM t)"
+    keys = lambda name: f"SELECT DISTINCT doc_id, replace(rtrim(digits, '.,'), ',', '') AS key FROM {found(name)} WHERE lead = ''"
+    return f"""WITH i AS ({S.injected_sql(S.FACTS)}), t AS (SELECT doc_id, {ascii_words("text")} AS text, {ascii_words(sub("text", LOST, ""))} AS new FROM i),
+    a AS ({keys("text")}), b AS ({keys("new")}), c AS (SELECT * FROM a ANTI JOIN b USING (doc_id, key))
+    SELECT doc_id, key FROM c JOIN t USING (doc_id)
+    WHERE NOT (coalesce(TRY_CAST(key AS BIGINT) < {len(R.NUMBER_WORDS)}, false) AND coalesce(regexp_matches(new, '(?i)\\b' || [{words}][TRY_CAST(key AS BIGINT) + 1] || '\\b'), false))
+    AND NOT regexp_matches(replace(new, ',', ''), '(^|[^0-9.])' || replace(key, '.', '\\.') || '($|[^0-9])')"""

@@ -82,6 +82,17 @@ GAPS = (
     "Nothing here is an acronym but the UK.",
     "A G99 form, the network's approval, and the CSMS.",
 )
+GLOSSARY = (
+    "**CPO**: Charge Point Operator. Owns sites.\n**DNO list**: the networks (e.g. north. south) of a country\n**Empty**:",
+    "**kWh**: a unit of energy.\nNo **headword** here: none.",
+)
+EXPLAINING = (
+    "The boiler heats the water, so the sensor learns late. It learns late because the pipe is long, which means the room is warm first. If it is cold, wait.",
+    "The gate has three parts: a key, a lock and a hinge. The key turns, so the lock holds, but the hinge swings.",
+    "It takes two steps.\n\n- open the door\n- shut the door",
+    "Due to the fact that it rains, it should be noted that we wait. It is very, really wet.",
+    "You might wonder why. But why wait? The catch is the rain, that is, what is known as drizzle; it needs 4 separate conditions and 12 rules.",
+)
 
 
 def injected(docs: DataFrame, snippets: tuple[str, ...]) -> DataFrame:
