@@ -236,15 +236,15 @@ def dealt_further(content: DataFrame, windows: Windows, scratch: Scratch) -> tup
     while not content.isEmpty():
         parts = content.select("key", "name", "many", "content", "place", "low", "high").mapInArrow(part_rows(windows), PARTS)
         parts = scratch.write(parts, f"parts{len(rounds)}")
-        # Again a key that occurs once holds no repeated window.
-        again = scratch.write(parts.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), f"again{len(rounds)}")
-        held = parts.join(again.hint("merge"), "key")
-        same = held.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), *(F.any_value(c).alias(c) for c in ("many", "place", "low", "high", "content")))
+        same = parts.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), *(F.any_value(c).alias(c) for c in ("many", "place", "low", "high", "content")))
         same = scratch.write(same, f"same{len(rounds)}")
+        # Again a key that occurs once holds no repeated window.
+        again = scratch.write(same.groupBy("key").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("key"), f"again{len(rounds)}")
+        same = same.join(again.hint("merge"), "key")
         hot = hot_keys(same.where("low < high"), windows.most)
         twice = F.explode(F.when(F.col("times") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
         content = scratch.write(same.join(hot.hint("merge"), "key", "left").select("key", "name", twice, "many", "content", F.coalesce("hot", F.lit(False)).alias("hot"), "place", "low", "high"), f"content{len(rounds)}")
-        rounds.append(scratch.write(held.select("parent_key", "parent_name", "shift", "key", "name").distinct(), f"cuts{len(rounds)}"))
+        rounds.append(scratch.write(parts.select("parent_key", "parent_name", "shift", "key", "name").distinct(), f"cuts{len(rounds)}"))
         scratch.drop(*(f"{x}{len(rounds) - 1}" for x in ("parts", "again", "same")))
         settled = settled.unionByName(content.where("not hot").select("key", "name", "copy", "many", "content"))
         content = content.where("hot")
