@@ -211,16 +211,12 @@ def runs(context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return context[first], place[first], place[last]
 
 
-def hot_keys(rows: DataFrame, most: int) -> DataFrame:
-    """Keys of more than most of these rows."""
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > most).select("key", F.lit(True).alias("hot"))
-
-
 def contexts(docs: DataFrame, shared: DataFrame, windows: Windows, scratch: Scratch) -> DataFrame:
     """CONTENT rows, and whether their key is hot: of each context the text of one place, or of two if more hold it."""
     place = F.struct("doc_key", "text_key", "first", "many")
     examples = scratch.write(shared.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("one"), F.max(place).alias("two")), "examples")
-    hot = scratch.write(hot_keys(examples, windows.most), "hot")
+    different = examples.groupBy("key").agg(F.count(F.lit(1)).alias("different"))
+    hot = scratch.write(different.where(F.col("different") > windows.most).select("key", F.lit(True).alias("hot")), "hot")
     copies = examples.join(hot.hint("merge"), "key", "left").select(
         "key", "name", F.coalesce("hot", F.lit(False)).alias("hot"), F.posexplode(F.when(F.col("times") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("copy", "at")
     )
@@ -238,12 +234,11 @@ def dealt_further(content: DataFrame, windows: Windows, scratch: Scratch) -> tup
         parts = scratch.write(parts, f"parts{len(rounds)}")
         same = parts.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), *(F.any_value(c).alias(c) for c in ("many", "place", "low", "high", "content")))
         same = scratch.write(same, f"same{len(rounds)}")
-        # Again a key that occurs once holds no repeated window.
-        again = scratch.write(same.groupBy("key").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("key"), f"again{len(rounds)}")
-        same = same.join(again.hint("merge"), "key")
-        hot = hot_keys(same.where("low < high"), windows.most)
+        # Again a key that occurs once holds no repeated window. Written, so that adaptive execution may split a hot key of the join.
+        keys = same.groupBy("key").agg(F.sum("times").alias("all"), (F.count_if(F.col("low") < F.col("high")) > windows.most).alias("hot")).where(F.col("all") > 1)
+        keys = scratch.write(keys.select("key", "hot"), f"again{len(rounds)}")
         twice = F.explode(F.when(F.col("times") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
-        content = scratch.write(same.join(hot.hint("merge"), "key", "left").select("key", "name", twice, "many", "content", F.coalesce("hot", F.lit(False)).alias("hot"), "place", "low", "high"), f"content{len(rounds)}")
+        content = scratch.write(same.join(keys.hint("merge"), "key").select("key", "name", twice, "many", "content", "hot", "place", "low", "high"), f"content{len(rounds)}")
         rounds.append(scratch.write(parts.select("parent_key", "parent_name", "shift", "key", "name").distinct(), f"cuts{len(rounds)}"))
         scratch.drop(*(f"{x}{len(rounds) - 1}" for x in ("parts", "again", "same")))
         settled = settled.unionByName(content.where("not hot").select("key", "name", "copy", "many", "content"))
