@@ -154,3 +154,71 @@ def test_held_out_accuracy(spark):
 def test_queries_return_every_row(spark, small):
     n = spark.read.parquet(f"{small}/documents.parquet").count()
     assert Q.op1_quality_classifier(spark, small).count() == n
+
+
+def plain_features(text):
+    """Occurrences of each feature of one text, and its words: what features() hashes to places."""
+    found, words = Counter(), (text or "").split()
+    lower = lambda w: "".join(c.lower() if c.isascii() else c for c in w).encode()
+    for i, word in enumerate(words):
+        raw, low = word.encode(), lower(word)
+        inner = len(raw) - 1 - (len(raw) > 2)
+        found["word", low] += 1
+        found["tail", tuple(low[max(len(low) - k, 0)] for k in (1, 2, 3))] += 1
+        found["shape", i > 0 and lower(words[i - 1]) == low, len(raw) > 1 and raw[0] != low[0] and raw[inner] != low[inner]] += 1
+        for n in ordinal.BEGINNINGS:
+            if len(low) > n:
+                found["beginning", low[:n]] += 1
+    return found, len(words)
+
+
+def text_features(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return ordinal.features(raw, np.array([0, len(raw)]))
+
+
+def test_features_are_those_of_a_plain_count():
+    """Places may collide, which adds occurrences up: their sum is exact, their number nearly."""
+    for text in ("The the QUICK brown Foxes", "straße Straße ab a I NASA NASA", " ".join(f"word{i} Name{i % 3}" for i in range(40)), "x"):
+        found, n = plain_features(text)
+        _, place, value = text_features(text)
+        times = (value * (3 + np.log(n))) ** 2
+        assert times.sum() == pytest.approx(sum(found.values())) and len(found) - 3 <= len(place) <= len(found)
+        assert np.sort(np.rint(times))[-1] >= max(found.values())
+
+
+def test_rating_is_the_plain_formula(spark):
+    rng = np.random.default_rng(3)
+    model = ordinal.OrdinalModel(rng.normal(size=ordinal.SPACE).astype(np.float32), np.array([-0.4, 0.7]))
+    texts = ["the quick brown fox", "", None, "Over the lazy dog, twice over", "x"]
+    done = {r["doc_id"]: r for r in ordinal.rate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        _, place, value = text_features(text or "")
+        score = sum(float(model.weights[p]) * v for p, v in zip(place.tolist(), value.tolist(), strict=True))
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds.tolist()]
+        assert (done[i]["expected_grade"], done[i]["tail_probability"]) == (pytest.approx(sum(above)), pytest.approx(above[-1]))
+        assert done[i]["selected"] == (above[-1] >= 0.5)
+
+
+def test_the_first_step_goes_down_the_plain_gradient():
+    """Adam's first step has the sign of minus the gradient, which differences of the plain likelihood give."""
+    rng = np.random.default_rng(9)
+    text, place, grade = np.repeat(np.arange(30), 4), rng.integers(0, 12, 120), rng.integers(0, 3, 30)
+    value = rng.uniform(0.2, 1, 120)
+
+    def loss(weights, steps):
+        thresholds, total = [steps[0], steps[0] + np.exp(steps[1])], 0.0
+        for i in range(30):
+            score = sum(weights[p] * v for t, p, v in zip(text, place, value, strict=True) if t == i)
+            above = [1.0, *(1 / (1 + np.exp(t - score)) for t in thresholds), 0.0]
+            total -= np.log(above[grade[i]] - above[grade[i] + 1])
+        return total / 30
+
+    model, start, h = ordinal.fit(text, place, value, grade, 3, rounds=1), [-1.0, 0.0], 1e-5
+    for p in range(12):
+        up, down = np.zeros(12), np.zeros(12)
+        up[p], down[p] = h, -h
+        slope = (loss(up, start) - loss(down, start)) / (2 * h)
+        assert np.sign(model.weights[p]) == -np.sign(slope) and abs(model.weights[p]) == pytest.approx(0.3, rel=1e-3)
+    slopes = [(loss(np.zeros(12), [a + h * (k == 0) for k, a in enumerate(start)]) - loss(np.zeros(12), [a - h * (k == 0) for k, a in enumerate(start)])) / (2 * h)]
+    assert np.sign(model.thresholds[0] + 1) == -np.sign(slopes[0])
