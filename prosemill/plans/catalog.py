@@ -240,7 +240,7 @@ def insight_structure(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("check")), ",").alias("checks"))
 
 
-@query()
+@query(Q.insight_details())
 def insight_failures(spark, sf_dir):
     return D.insights(corpus(spark, sf_dir, S.INSIGHTS))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from prosemill.functions import insight as I
 from prosemill.functions import rules as R
 from prosemill.functions.dialect import sql_text as q
 from prosemill.functions.rules import Rule
@@ -219,6 +220,29 @@ def insight() -> str:
     SELECT doc_id, array_to_string(found, ',') AS checks FROM c WHERE len(found) > 0"""
 
 
+def insight_details() -> str:
+    """Figures are placed as in tell_positions, as their surroundings decide."""
+    contained = lambda s: f"CASE WHEN NOT contains(lower(text), {q(s.lower())}) THEN {q(s)} END"
+    rows = [
+        f"SELECT doc_id, 0 AS step, 0 AS place, 'sections' AS \"check\", format({q(I.ABSENT)}, array_to_string(absent, ', ')) AS detail FROM (SELECT doc_id, list_filter([{', '.join(map(contained, R.SECTIONS))}], lambda x: x IS NOT NULL) AS absent FROM i) WHERE len(absent) > 0",
+        f"SELECT doc_id, 1, 0, 'significance', format({q(I.GRADES)}, grades) FROM (SELECT doc_id, {n('text', R.SIGNIFICANCE)} AS grades FROM i) WHERE grades <> 1",
+    ]
+    for step, (pattern, what) in enumerate(R.CODE_REFERENCES, 2):
+        names = f"(SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, {q(pattern)}))) AS names FROM i)"
+        more = f"CASE WHEN len(names) > 3 THEN format({q(I.MORE)}, len(names) - 3) ELSE '' END"
+        rows.append(f"SELECT doc_id, {step}, 0, 'no_internal_refs', {q(what + ': ')} || array_to_string(names[1:3], ', ') || {more} FROM {names} WHERE len(names) > 0")
+    split = lambda step, pattern, what: f"SELECT doc_id, text, plain, {step} AS step, {q(what)} AS what, regexp_extract_all(plain, {q(pattern)}) AS hits, string_split_regex(plain, {q(pattern)}) AS parts FROM t"
+    figures = " UNION ALL ".join(split(step, *figure) for step, figure in enumerate(R.CUSTOMER_FIGURES, 10))
+    rows.append(f"SELECT doc_id, step, place, 'no_customer_metrics', format({q(I.DISCLOSED)}, what, figure) FROM g WHERE nth = 1")
+    return f"""WITH i AS ({S.injected_sql(S.INSIGHTS)}), t AS (SELECT doc_id, text, {ascii_words("text")} AS plain FROM i), h AS ({figures}),
+    e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM h),
+    a AS (SELECT *, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0))::BIGINT AS place, length(hits[k]) AS size FROM e),
+    f AS (SELECT doc_id, step, place, what, {sub("trim(substring(text, place + 1, size))", "\\s+", " ")} AS figure, substring(plain, greatest(place - {R.LIMIT_WINDOW}, 0) + 1, place + size + {R.LIMIT_WINDOW} - greatest(place - {R.LIMIT_WINDOW}, 0)) AS around FROM a),
+    g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(figure) ORDER BY step, place) AS nth FROM f WHERE NOT regexp_matches(around, {q(R.LIMIT_WORDS)})),
+    r AS ({' UNION ALL '.join(rows)})
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step, place) - 1)::INT AS nth, "check", detail FROM r"""
+
+
 def spacing() -> str:
     """Which first uses explain their acronym the snippets say; the fold is a recursion over the entries that use it."""
     explained = " OR ".join(f"(acronym = '{a}' AND a.doc_id % {len(S.GAPS)} = {i})" for i, a in ((0, "OCPP"), (1, "EVSE")))

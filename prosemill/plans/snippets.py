@@ -75,6 +75,8 @@ INSIGHTS = (
     "Context: a\n\nInsight Description: b\n\nSignificance\n\nHigh\n\nCustomer Details: c",
     "Context only, see src/app.py:12 and Foo::bar\n\nLow\n\nHigh",
     "Insight description: $this->that in main.rs. Significance: none",
+    "Context: an estate of 1,200 charge points\n\nTheir sites number 4,500, and 4500 happy drivers pay EUR 3.2m for it. Later in the text: EUR 3.2M again, and 40 % of their bill.",
+    "A page may hold up to 5,000 sessions per call, says a.py, b.py, c.go, d.rb and x::y. Far from every such word, the team then counted 5,000  sessions, 7% of Acme's.",
 )
 GAPS = (
     "The CPO runs it. The OCPP (Open Charge Point Protocol) talks.",
