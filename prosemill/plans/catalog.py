@@ -307,7 +307,7 @@ def anticipation_counts(spark, sf_dir):
     return whole(books.anticipations(corpus(spark, sf_dir, S.EXPLAINING)), "anticipations")
 
 
-@query()
+@query(Q.joints())
 def explanation_joints(spark, sf_dir):
     return D.joints(corpus(spark, sf_dir, S.EXPLAINING))
 

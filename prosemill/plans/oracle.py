@@ -298,6 +298,49 @@ def promises() -> str:
     SELECT doc_id, noun, coalesce(list_position([{words}], number) - 1, TRY_CAST(number AS BIGINT))::BIGINT AS "count", count(*) AS mentions FROM e GROUP BY ALL"""
 
 
+def negatives(pattern: str) -> tuple[list[str], str]:
+    """The bodies of the negative lookarounds that open a pattern, and its rest."""
+    found = []
+    while opening := next((o for o in ("(?<!", "(?!") if pattern.startswith(o)), None):
+        depth, end = 1, len(opening)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(pattern[end], 0)
+            end += 1
+        found.append(pattern[len(opening) : end - 1])
+        pattern = pattern[end:]
+    return found, pattern
+
+
+def guarded(word: str) -> str:
+    """Whether one of a connective's guards holds for the texts before and after it."""
+    ways = []
+    for before, after in R.CONNECTIVE_GUARDS[word]:
+        (not_before, left), (not_after, right) = negatives(before), negatives(after)
+        tests = [f"regexp_matches(before, {q(f'(?i){left}')})"] if left != r"\z" else []  # every text has an end
+        tests += [f"regexp_matches(after, {q(rf'(?i)\A(?:{right})')})"] if right else []
+        tests += [f"NOT regexp_matches(before, {q(rf'(?i)(?:{x}){left}')})" for x in not_before] + [f"NOT regexp_matches(after, {q(rf'(?i)\A(?:{x})')})" for x in not_after]
+        ways.append(f"({' AND '.join(tests)})")
+    return f"WHEN '{word}' THEN {' OR '.join(ways)}"
+
+
+def joints() -> str:
+    """For each group of the table: its hits in what the groups before left, those whose guards hold, and the text without these."""
+    held = f"CASE lower(hit) {' '.join(map(guarded, R.CONNECTIVE_GUARDS))} ELSE true END"
+    steps = [f"WITH i AS ({S.injected_sql(S.EXPLAINING)}), c0 AS (SELECT doc_id, text AS plain, text AS left_over FROM (SELECT doc_id, {ascii_words('text')} AS text FROM i))"]
+    for i, (_, words) in enumerate(R.JOINTS, 1):
+        pattern = q(rf"(?i)\b(?:{words})\b")
+        steps.append(f"""h{i} AS MATERIALIZED (SELECT doc_id, plain, regexp_extract_all(left_over, {pattern}) AS hits, string_split_regex(left_over, {pattern}) AS parts FROM c{i - 1}),
+    u{i} AS (SELECT doc_id, plain, hits, parts, unnest(range(1, len(hits) + 1)) AS k FROM h{i}),
+    p{i} AS (SELECT doc_id, plain, k, hits[k] AS hit, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0))::BIGINT AS place FROM u{i}),
+    a{i} AS (SELECT doc_id, k, hit, place, right(regexp_replace(left(plain, place), '\\s+\\z', ''), {R.GUARD_BEFORE}) AS before, substring(plain, place + length(hit) + 1, {R.GUARD_AFTER}) AS after FROM p{i}),
+    e{i} AS MATERIALIZED (SELECT doc_id, k, place, {held} AS holds FROM a{i}),
+    o{i} AS (SELECT doc_id, list(holds ORDER BY k) AS held FROM e{i} GROUP BY doc_id),
+    c{i} AS MATERIALIZED (SELECT h.doc_id, plain, array_to_string(list_transform(range(1, len(parts) + 1), lambda k: parts[k] || CASE WHEN k > len(hits) THEN '' WHEN held[k] THEN repeat('_', length(hits[k])) ELSE hits[k] END), '') AS left_over
+        FROM h{i} AS h LEFT JOIN o{i} AS o ON o.doc_id = h.doc_id)""")
+    found = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, place::INT AS \"at\" FROM e{i} WHERE holds" for i, (kind, _) in enumerate(R.JOINTS, 1))
+    return f"{', '.join(steps)} {found}"
+
+
 def first_acronyms() -> str:
     """CTEs up to a: doc_id, acronym, plural, of the first use: the least k."""
     text = sub(sub(sub(sub("text", R.FENCE, " "), R.INLINE, " "), R.NOT_PROSE[0], " "), R.NOT_PROSE[1], " ")

@@ -94,6 +94,7 @@ EXPLAINING = (
     "It takes two steps.\n\n- open the door\n- shut the door",
     "Due to the fact that it rains, it should be noted that we wait. It is very, really wet.",
     "You might wonder why. But why wait? The catch is the rain, that is, what is known as drizzle; it needs 4 separate conditions and 12 rules.",
+    "It has rained since then, since the wind turned. Once it stops, we go, and once is enough; twice or once. All but one left, but not yet: it is worth while, yet another day, while a while passes. So far so good, so to speak, or so they say, so we wait. Even so, because of it we wait until noon.",
 )
 
 
