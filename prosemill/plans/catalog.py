@@ -221,7 +221,7 @@ def facts_dates(spark, sf_dir):
     return D.fact_table(corpus(spark, sf_dir, S.FACTS)).where("kind = 'date'").select("doc_id", F.lower("fact").alias("fact"))
 
 
-@query()
+@query(Q.lost_facts())
 def facts_survival(spark, sf_dir):
     source = corpus(spark, sf_dir, S.FACTS)
     return D.lost_facts(D.paired(source.withColumn("text", F.regexp_replace("text", "(?:2025|18,000|4\\.5|October)", "")), source))

@@ -390,3 +390,43 @@ def lost_numbers() -> str:
     SELECT doc_id, key FROM c JOIN t USING (doc_id)
     WHERE NOT (coalesce(TRY_CAST(key AS BIGINT) < {len(R.NUMBER_WORDS)}, false) AND coalesce(regexp_matches(new, '(?i)\\b' || [{words}][TRY_CAST(key AS BIGINT) + 1] || '\\b'), false))
     AND NOT regexp_matches(replace(new, ',', ''), '(^|[^0-9.])' || replace(key, '.', '\\.') || '($|[^0-9])')"""
+
+
+def date_keys() -> str:
+    """Of a date in small letters, bare of ordinals: its words, month and numbers, then its key, as three selects to nest."""
+    from prosemill.functions.facts import MONTHS
+
+    months = f"[{', '.join(map(q, MONTHS))}]"
+    parts = f"""SELECT *, list_filter(list_transform(list_filter(words, lambda w: regexp_full_match(w, '[a-z]+')), lambda w: list_position({months}, left(w, 3))), lambda m: m > 0)[1:1] AS months,
+        list_transform(list_filter(words, lambda w: regexp_full_match(w, '[0-9]+')), lambda w: w::BIGINT) AS numbers FROM (SELECT *, regexp_extract_all(bare, '[a-z0-9]+') AS words FROM dated)"""
+    order = """CASE WHEN len(months) = 0 AND len(numbers) = 3 THEN CASE WHEN numbers[1] > 31 THEN numbers ELSE list_reverse(numbers) END
+        WHEN len(months) = 1 AND len(numbers) = 2 THEN [numbers[2], months[1], numbers[1]] WHEN len(months) = 1 AND len(numbers) = 1 THEN [numbers[1], months[1]] ELSE [0] END"""
+    spelled = "array_to_string(list_transform(list_filter(string_split_regex(translate(bare, ',.', '  '), '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_full_match(w, '[a-z]+') THEN left(w, 3) ELSE w END), ' ')"
+    padded = "array_to_string(list_transform(ordered, lambda k: CASE WHEN k < 10 THEN '0' ELSE '' END || k::VARCHAR), '-')"
+    return f"SELECT doc_id, version, place, fact, CASE WHEN ordered[1] > 31 THEN {padded} ELSE {spelled} END AS key FROM (SELECT *, {order} AS ordered FROM ({parts}))"
+
+
+def pieces(table: str, text: str, pattern: str) -> str:
+    return f"SELECT doc_id, version, text, regexp_extract_all({text}, {q(pattern)}) AS hits, string_split_regex({text}, {q(pattern)}) AS parts FROM {table}"
+
+
+def hits_at(table: str) -> str:
+    before = "list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0)"
+    return f"SELECT doc_id, version, text, hits[k] AS hit, ({before})::BIGINT AS place FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM {table})"
+
+
+def lost_facts() -> str:
+    """Dates and numbers; the snippets and the corpus have neither quotations nor code."""
+    blank = "array_to_string(list_transform(range(1, len(parts) + 1), lambda k: parts[k] || CASE WHEN k > len(hits) THEN '' ELSE repeat(' ', length(hits[k])) END), '')"
+    bare = sub("lower(hit)", R.ORDINAL, "\\1")
+    return f"""WITH source AS ({S.injected_sql(S.FACTS)}),
+    t AS (SELECT doc_id, 'old' AS version, {ascii_words("text")} AS text FROM source UNION ALL SELECT doc_id, 'new', {ascii_words(sub("text", LOST, ""))} FROM source),
+    day AS MATERIALIZED ({pieces("t", "text", R.DATE)}), dated AS (SELECT *, hit AS fact, {bare} AS bare FROM ({hits_at("day")})), keyed AS ({date_keys()}),
+    dateless AS (SELECT doc_id, version, {blank} AS text FROM day), marked AS ({pieces("dateless", "text", R.LIST_MARKER)}), rest AS (SELECT doc_id, version, {blank} AS text FROM marked WHERE version = 'old'),
+    digit AS ({pieces("rest", "text", "[A-Za-z_]?" + R.NUMBER)}),
+    num AS (SELECT doc_id, text, place, rtrim(hit, '.,') AS digits FROM ({hits_at("digit")}) WHERE regexp_matches(hit, '^[0-9]')),
+    shown AS (SELECT doc_id, 'number' AS kind, place, replace(digits, ',', '') AS key, CASE WHEN place > 0 AND contains('{R.CURRENCY}', substring(text, place, 1)) THEN substring(text, place, 1) ELSE '' END || digits
+        || regexp_extract(substring(text, place + length(digits) + 1), {q(f"^(?:{R.UNIT})")}) AS fact FROM num),
+    gone AS (SELECT doc_id, 'number' AS kind, key FROM ({lost_numbers()}) UNION ALL SELECT DISTINCT doc_id, 'date', key FROM (SELECT doc_id, key FROM keyed WHERE version = 'old') AS o ANTI JOIN (SELECT doc_id, key FROM keyed WHERE version = 'new') AS w USING (doc_id, key)),
+    found AS (SELECT doc_id, kind, key, arg_min(fact, place) AS fact, min(place) AS place FROM (SELECT doc_id, kind, key, fact, place FROM shown UNION ALL SELECT doc_id, 'date', key, fact, place FROM keyed WHERE version = 'old') GROUP BY ALL)
+    SELECT doc_id, kind, fact, (length(left(text, place)) - length(replace(left(text, place), {NL}, '')) + 1)::INT AS line, key FROM gone JOIN found USING (doc_id, kind, key) JOIN source USING (doc_id)"""
