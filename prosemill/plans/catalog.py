@@ -157,6 +157,11 @@ def same_openings(spark, sf_dir):
     return D.find(corpus(spark, sf_dir, S.HARD), "simplify").where(F.col("rule") == R.SAME_OPENING)
 
 
+@query(Q.same_openings())
+def same_opening_runs(spark, sf_dir):
+    return D.find(corpus(spark, sf_dir, S.HARD), "simplify").where(F.col("rule") == R.SAME_OPENING).groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"))
+
+
 @query()
 def length_findings(spark, sf_dir):
     return D.find(corpus(spark, sf_dir), "lengths")

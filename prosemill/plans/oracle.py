@@ -430,3 +430,18 @@ def lost_facts() -> str:
     gone AS (SELECT doc_id, 'number' AS kind, key FROM ({lost_numbers()}) UNION ALL SELECT DISTINCT doc_id, 'date', key FROM (SELECT doc_id, key FROM keyed WHERE version = 'old') AS o ANTI JOIN (SELECT doc_id, key FROM keyed WHERE version = 'new') AS w USING (doc_id, key)),
     found AS (SELECT doc_id, kind, key, arg_min(fact, place) AS fact, min(place) AS place FROM (SELECT doc_id, kind, key, fact, place FROM shown UNION ALL SELECT doc_id, 'date', key, fact, place FROM keyed WHERE version = 'old') GROUP BY ALL)
     SELECT doc_id, kind, fact, (length(left(text, place)) - length(replace(left(text, place), {NL}, '')) + 1)::INT AS line, key FROM gone JOIN found USING (doc_id, kind, key) JOIN source USING (doc_id)"""
+
+
+def same_openings() -> str:
+    """Runs of sentences of one line of prose that open with the same word; an article opens a run of its own."""
+    block = R.BLOCK_START.replace(r"\s", SPACE)
+    split = sub(sub("line", STOPPED, f"\\1\\2{GUARD}"), R.SENTENCE_END, "\\1\n")
+    return f"""{structure(S.HARD)},
+    l AS (SELECT doc_id, unnest(list_filter(string_split(blocks, {NL}), lambda x: NOT regexp_matches(x, {q(f"^(?:{block})")}))) AS blocks FROM s),
+    n AS (SELECT doc_id, row_number() OVER () AS k, {plain("blocks", by_line=True)} AS line FROM l),
+    o AS (SELECT doc_id, k, list_transform(list_filter(string_split({split}, {NL}), lambda x: regexp_matches(x, {q(R.WORD)})), lambda x: lower(regexp_extract(x, {q(R.WORD)}))) AS words FROM n),
+    e AS (SELECT doc_id, k, unnest(words) AS word, generate_subscripts(words, 1) AS nth FROM o),
+    opened AS (SELECT *, (word IN ('the', 'a', 'an') OR coalesce(word <> lag(word) OVER (PARTITION BY k ORDER BY nth), true))::INT AS opens FROM e),
+    r AS (SELECT doc_id, k, nth, sum(opens) OVER (PARTITION BY k ORDER BY nth) AS run FROM opened),
+    runs AS (SELECT doc_id, count(*) AS sentences FROM r GROUP BY doc_id, k, run HAVING count(*) >= {R.SAME_OPENING_RUN})
+    SELECT doc_id, count(*) AS runs FROM runs GROUP BY doc_id"""
