@@ -307,6 +307,11 @@ def paragraph_signals(spark, sf_dir):
     return whole(D.paragraphs(corpus(spark, sf_dir, S.EXPLAINING)).select("doc_id", *names), *names)
 
 
+@query(Q.paragraph_joints())
+def paragraph_joints(spark, sf_dir):
+    return whole(D.paragraphs(corpus(spark, sf_dir, S.EXPLAINING)).select("doc_id", "nth", "joints"), "nth", "joints")
+
+
 @query(Q.anticipations())
 def anticipation_counts(spark, sf_dir):
     return whole(books.anticipations(corpus(spark, sf_dir, S.EXPLAINING)), "anticipations")

@@ -323,10 +323,13 @@ def guarded(word: str) -> str:
     return f"WHEN '{word}' THEN {' OR '.join(ways)}"
 
 
-def joints() -> str:
-    """For each group of the table: its hits in what the groups before left, those whose guards hold, and the text without these."""
+def connectives() -> str:
+    """CTEs from c0 (doc_id, plain, left_over) on to joints: doc_id, kind, place.
+
+    For each group of the table: its hits in what the groups before left, those whose guards hold, and the text without these.
+    """
     held = f"CASE lower(hit) {' '.join(map(guarded, R.CONNECTIVE_GUARDS))} ELSE true END"
-    steps = [f"WITH i AS ({S.injected_sql(S.EXPLAINING)}), c0 AS (SELECT doc_id, text AS plain, text AS left_over FROM (SELECT doc_id, {ascii_words('text')} AS text FROM i))"]
+    steps = []
     for i, (_, words) in enumerate(R.JOINTS, 1):
         pattern = q(rf"(?i)\b(?:{words})\b")
         steps.append(f"""h{i} AS MATERIALIZED (SELECT doc_id, plain, regexp_extract_all(left_over, {pattern}) AS hits, string_split_regex(left_over, {pattern}) AS parts FROM c{i - 1}),
@@ -337,8 +340,19 @@ def joints() -> str:
     o{i} AS (SELECT doc_id, list(holds ORDER BY k) AS held FROM e{i} GROUP BY doc_id),
     c{i} AS MATERIALIZED (SELECT h.doc_id, plain, array_to_string(list_transform(range(1, len(parts) + 1), lambda k: parts[k] || CASE WHEN k > len(hits) THEN '' WHEN held[k] THEN repeat('_', length(hits[k])) ELSE hits[k] END), '') AS left_over
         FROM h{i} AS h LEFT JOIN o{i} AS o ON o.doc_id = h.doc_id)""")
-    found = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, place::INT AS \"at\" FROM e{i} WHERE holds" for i, (kind, _) in enumerate(R.JOINTS, 1))
-    return f"{', '.join(steps)} {found}"
+    found = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, place FROM e{i} WHERE holds" for i, (kind, _) in enumerate(R.JOINTS, 1))
+    return f"{', '.join(steps)}, joints AS ({found})"
+
+
+def joints() -> str:
+    return f"""WITH i AS ({S.injected_sql(S.EXPLAINING)}), c0 AS (SELECT doc_id, text AS plain, text AS left_over FROM (SELECT doc_id, {ascii_words('text')} AS text FROM i)),
+    {connectives()} SELECT doc_id, kind, place::INT AS "at" FROM joints"""
+
+
+def paragraph_joints() -> str:
+    """Each paragraph is a text of its own."""
+    return f"""{units(S.EXPLAINING)}, c0 AS (SELECT struct_pack(d := doc_id, nth := nth) AS doc_id, text AS plain, text AS left_over FROM (SELECT doc_id, nth, {ascii_words('x')} AS text FROM u WHERE unit = 'paragraph')),
+    {connectives()} SELECT c0.doc_id.d AS doc_id, c0.doc_id.nth AS nth, count(kind) AS joints FROM c0 LEFT JOIN joints ON joints.doc_id = c0.doc_id GROUP BY ALL"""
 
 
 def first_acronyms() -> str:
