@@ -241,7 +241,7 @@ def lost_numbers(spark, sf_dir):
 
 @query(Q.insight())
 def insight_structure(spark, sf_dir):
-    found = D.insights(corpus(spark, sf_dir, S.INSIGHTS)).where("check <> 'no_customer_metrics'")
+    found = D.insights(corpus(spark, sf_dir, S.INSIGHTS))
     return found.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("check")), ",").alias("checks"))
 
 
