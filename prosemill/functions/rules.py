@@ -33,8 +33,14 @@ def phrase_pattern(phrases: list[str]) -> str:
 
 
 def phrase_triggers(phrases: list[str]) -> frozenset[str]:
-    """The longest plain word of each phrase."""
-    return frozenset(max((w for w in re.split(r"[^a-z]+", re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)\??|\S\?", " ", p))), key=len) for p in phrases)
+    """The longest plain word of each phrase, a common one only for want of another; with and without a letter that may be missing."""
+    bare = [re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)\??", " ", p) for p in phrases]
+    spelled = [q for p in bare for q in (re.sub(r"(\S)\?", r"\1", p), re.sub(r"\S\?", "", p))]
+    return frozenset(max((w for w in re.split(r"[^a-z]+", p)), key=lambda w: (w not in COMMON and len(w) > 2, len(w))) for p in spelled)
+
+
+#: Words that many texts hold.
+COMMON = frozenset("the and that this with from have has for not are was were which will can its you all any one what when there their they".split())
 
 
 def either_quote(pattern: str) -> str:
@@ -139,7 +145,7 @@ TELLS: tuple[Rule, ...] = (
         r"|\b(?-i:It)'?s not (?:a|an|the)\b[^.!?\n]{1,60}?\s*(?:,|[—–]|--)\s*it'?s\b"
         r"|\bless about\b[^.!?\n]{1,60}\bmore about\b"
         r"|\b(?:does not|doesn'?t) mean\b[^.!?\n]{1,80}[.!?]\s+it means\b",
-        "it this that they these those its less mean",
+        "not isn isnt aren arent wasn wasnt weren werent less mean",
     ),
     tell("phrase:no-x-no-y", r"\bNo [^.!?\n]{1,30}[.!] No [^.!?\n]{1,30}[.!]", "no"),
     tell(
@@ -166,7 +172,7 @@ TELLS: tuple[Rule, ...] = (
         "mark marks future legacy",
     ),
     tell("phrase:doc-narration", r"(?i)\bthis (?:document|doc|post|article|guide) (?:aims to|will (?:explore|walk|take|cover|discuss|dive))\b", "document doc post article guide"),
-    tell("phrase:serves-as", r"(?i)\b(?:serves?|served|serving|stands?|stood|functions|functioned) as (?:a|an|the)\b", "as"),
+    tell("phrase:serves-as", r"(?i)\b(?:serves?|served|serving|stands?|stood|functions|functioned) as (?:a|an|the)\b", "serve serves served serving stand stands stood functions functioned"),
     tell(
         "phrase:ing-tail",
         r"(?i)(?:,\s+|\s*[—–]\s*)(?:highlighting|underscoring|reflecting|ensuring|emphasi[sz]ing|symboli[sz]ing|signall?ing|demonstrating|illustrating|cementing|solidifying"
@@ -272,9 +278,9 @@ def hard(name: str, pattern: str, triggers: str, hint: str) -> Rule:
     return Rule(name, either_quote(pattern), "complexity", hint, triggers=frozenset(triggers.split()))
 
 
-def wordy(name: str, phrases: str, hint: str) -> Rule:
+def wordy(name: str, phrases: str, hint: str, triggers: str = "") -> Rule:
     listed = [p.strip() for p in phrases.split(",")]
-    return Rule(name, phrase_pattern(listed), "complexity", hint, triggers=phrase_triggers(listed))
+    return Rule(name, phrase_pattern(listed), "complexity", hint, triggers=frozenset(triggers.split()) or phrase_triggers(listed))
 
 
 COMPLEXITY: tuple[Rule, ...] = (
@@ -347,6 +353,7 @@ COMPLEXITY: tuple[Rule, ...] = (
         "hedge-stack",
         "it (?:may|might|could) be (?:the case )?that, it would (?:appear|seem) that, there is a possibility that, we (?:would|might) potentially",
         "take a position or state the uncertainty in one plain clause",
+        "may might could would possibility potentially",
     ),
 )
 SAME_OPENING = "complexity:same-opening"

@@ -27,6 +27,14 @@ def schema_of(columns: str) -> T.StructType:
     return T.StructType.fromDDL(columns)
 
 
+def calmly(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    def calm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with prose.fewer_collections():
+            yield from run(batches)
+
+    return calm
+
+
 def each(docs: DataFrame, columns: str, function: Callable[..., dict | tuple | list[dict]], id_col: str, *texts: str) -> DataFrame:
     """function(text, ...) for each row, as columns: a dict or tuple for a row, a list of dicts for a row each."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -35,6 +43,7 @@ def each(docs: DataFrame, columns: str, function: Callable[..., dict | tuple | l
     kind = docs.schema[id_col].dataType
     id_type, names = to_arrow_type(kind), [f[0] for f in fields]
 
+    @calmly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):

@@ -264,3 +264,61 @@ def test_tables_are_whole():
     assert (len(rules.TELLS), len(rules.CLUTTER), len(rules.COMPLEXITY), len(rules.TYPOGRAPHY), len(rules.BUDGET)) == (46, 37, 20, 17, 9)
     names = [r.name for r in rules.TELLS + rules.CLUTTER + rules.COMPLEXITY]
     assert len(set(names)) == len(names)
+
+
+def test_words_and_sentences_are_those_of_their_patterns():
+    import regex
+
+    from prosemill.functions import rules as R
+
+    words = lambda t: regex.findall(R.WORD, t)
+
+    def plain(t):
+        t = regex.sub(R.URL, "LINK", prose.unwrapped(t))
+        for pattern, new in R.MARKDOWN:
+            t = regex.sub(pattern, new, t)
+        return t
+
+    def pieces(line):
+        at, found = 0, []
+        for m in regex.finditer(R.SENTENCE_END, regex.sub(R.ABBREVIATION, lambda m: m[0].replace(".", prose.GUARD), line)):
+            found.append(line[at : m.end(1)].strip())
+            at = m.end()
+        return [p for p in [*found, line[at:].strip()] if regex.search(R.WORD, p)]
+
+    texts = [
+        "It’s e.g. a 'test' - vs. that-. St. Éa. Mr. X thst. No. Nno. etc.) So? \x1c Yes.\x1c no. ſt. end", "#\n\nAbc. Def\n- - x\n\n\n\n\n1. a\n2) b | c\n> [l](u) *e*", "---\n\nA b.\n\n# H *x*\nb\n-\n\nc",
+        "-'’ a' ’b -c- é'd", "A\n\n\n\n\nb. C", "www.x.y A. https://a.b/c) d | e", "",
+    ]
+    for t in texts:
+        assert prose.plain(t) == plain(t), t
+        assert prose.sentences(t) == [s for line in plain(t).split("\n") if line.strip() for s in pieces(line.strip())], t
+        assert prose.count_words(t) == len(words(t)) and prose.words(t) == words(t), t
+
+
+def test_connectives_dates_and_numbers_are_those_of_their_patterns():
+    import regex
+
+    from prosemill.functions import explaining, facts
+    from prosemill.functions import rules as R
+
+    text = "So it rains, so that we wait; soon, İf not, which means\nthe end. Even so, if one or two ifs stay, due to it: because of it\nhence. But ſo what.\n" * 3
+    left, want = text, []
+    for kind, alternatives in R.JOINTS:
+        own = [m.span() for m in regex.finditer(rf"(?i)\b(?:{alternatives})\b", left) if explaining.joins(text, m)]
+        for a, b in own:
+            left = left[:a] + "_" * (b - a) + left[b:]
+        want += [(a, kind) for a, _ in own]
+    assert explaining.joints(text) == [(k, a) for a, k in sorted(want)] and len(want) > 9
+    text = "On 14 Oct\n\n2026, Oct. 14th, 2026; q1 2025 and 14/10/2026, a1 2.5 kW _3 ² 1,234.5\n1. x\n 2) y £7 Oct x 9" + " 8" * 50
+    assert [m.span() for m in regex.finditer(R.DATE, text)] == facts.dated(text)
+    rest = regex.sub(R.LIST_MARKER, lambda m: " " * len(m[0]), regex.sub(R.DATE, lambda m: " " * len(m[0]), text))
+    assert [m.start(2) for m in regex.finditer(rf"([^\W\d]?)({R.NUMBER})", rest) if not m[1]] == [a for a, _, _ in facts.numbers(text)]
+    text = "It has\n2\n\nkey  parts, takes 12 steps and comes in three kinds of partsman. It has İn two parts: a, b"
+    assert [(p.start, p.end) for p in explaining.promises(text)] == [m.span() for m in regex.finditer(R.PROMISE, text)]
+
+
+def test_a_phrase_with_a_letter_that_may_be_missing_has_both_as_triggers():
+    from prosemill.functions import findings
+
+    assert [h.rule for h in findings.simplifications("It is for the purposes of show.")] == [h.rule for h in findings.simplifications("It is for the purpose of show.")] == ["for-the-purpose"]
