@@ -199,3 +199,10 @@ def test_lost_facts_of_a_query_are_those_of_its_sql_and_the_others_have_a_query(
     got = QUERIES["facts_survival"](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and got.count()
     assert "a 2025 b" in [r["fact"] for r in QUERIES["passages_survival"](spark, str(tmp_path)).collect()]
+
+
+def test_measured_rows_are_those_of_the_native_ones(spark):
+    docs = spark.createDataFrame([(i, t, str(i % 3)) for i, t in enumerate(AWKWARD)], "doc_id long, text string, source string")
+    native, plain = measure.measure(docs, carry=("source",)), D.measured(docs, carry=("source",))
+    assert plain.schema.simpleString() == native.schema.simpleString()
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, native.collect()), key=str)
