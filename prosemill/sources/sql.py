@@ -21,8 +21,8 @@ def register(spark: SparkSession) -> None:
 
     scalar("prose_typography", "string", lambda t: findings.typography(t).text)
     scalar("prose_simplify", "string", lambda t: findings.simplify(t).text)
-    scalar("prose_words", "int", lambda t: int(measuring.measure(t).values["words"]))
-    scalar("prose_reading_ease", "double", lambda t: measuring.measure(t).values.get("flesch_reading_ease"))
+    scalar("prose_words", "int", prose.measured_words)
+    scalar("prose_reading_ease", "double", lambda t: measuring.counted(t)[0].get("flesch_reading_ease"))
     scalar("prose_over_budget", "array<string>", lambda t: measuring.measure(t).over_budget())
     scalar("prose_tells", "int", lambda t: len(findings.tells(t)))
 
